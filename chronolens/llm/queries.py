@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import line_dedup, packing, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_best_fit": packing.op2_best_fit,
     "op8_line_windows": line_dedup.op8_line_windows,
 }
 
