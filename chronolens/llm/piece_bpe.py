@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 SPACE = "▁"
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 400_000
 CACHED_PAIRS = 1_000_000
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTER, _REST = r"[^\W\d_²³¹]", r"[\W\d_²³¹]"
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -59,13 +58,14 @@ class PieceCodec:
             if self._merge(text) == [i]:  # else no merge order ever ends in this piece
                 self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
+        self.runs = {len(text) for text in self.id_of if not text.strip(SPACE)}
         self.segments = self._segment_pattern()
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _segment_pattern(self) -> re.Pattern:
         """Cut before a space after any other character and, where no piece mixes them, between letters and the rest."""
-        letter, mixed = re.compile(f"[{_LETTER}]"), False
+        letter, mixed = re.compile(_LETTER), False
         for text in self.id_of:
             for a, b in zip(text, text[1:], strict=False):
                 if b == SPACE and a != SPACE:
@@ -73,7 +73,7 @@ class PieceCodec:
                 mixed |= a != SPACE and bool(letter.match(a)) != bool(letter.match(b))
         if mixed:
             return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        return re.compile(f"{SPACE}*[{_LETTER}]+|{SPACE}*[^{SPACE}\n{_LETTER}]+|{SPACE}+|\n")
+        return re.compile(f"{SPACE}*{_LETTER}+|{SPACE}*(?:(?![{SPACE}\n]){_REST})+|{SPACE}+|\n")
 
     def _merge(self, text: str) -> list[int]:
         """Ids of a text of known characters by the merges themselves: best score first, then leftmost."""
@@ -90,56 +90,37 @@ class PieceCodec:
         return [self.id_of[p] for p in parts]
 
     def _spaces(self, text: str) -> list[int]:
-        """Ids of a segment that begins with two or more spaces, in time linear in the run (long runs merge in pairs)."""
+        """Ids of a segment that begins with two or more spaces: a word that can takes the last one first."""
         body = text.lstrip(SPACE)
         run = len(text) - len(body)
-        head = [self.id_of[SPACE]] * 0
-        if body and body[0] in self.chars:
-            joined = self._known(SPACE + body)
-            if len(self.text_of.get(joined[0], "")) > 1:  # the word takes the last space
-                return self._run(run - 1) + list(joined)
-            return head + self._run(run) + list(self._known(body))
+        if body and len(self.text_of.get((joined := self._known(SPACE + body))[0], "")) > 1:
+            return self._run(run - 1) + list(joined)
         return self._run(run) + (list(self._known(body)) if body else [])
 
     def _run(self, count: int) -> list[int]:
-        """Ids of `count` spaces. All space pieces have one score, so each round joins neighbours from the left."""
-        parts = [1] * count
-        sizes = {len(t) for t in self.id_of if t.strip(SPACE) == ""}
-        while True:
-            out: list[int] = []
-            merged = False
-            k = 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] + parts[k + 1] in sizes:
-                    out.append(parts[k] + parts[k + 1])
-                    merged = True
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-            if not merged:
-                return [self.id_of[SPACE * n] for n in parts]
+        """Ids of `count` spaces. All space pieces have one score, so always the leftmost pair that can join joins."""
+        parts: list[int] = []
+        for _ in range(count):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        return [self.id_of[SPACE * n] for n in parts]
 
     def _compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._merge(self.text_of[left] + self.text_of[right]) == [left, right]
-        return known
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[left, right] = self._merge(self.text_of[left] + self.text_of[right]) == [left, right]
+        return fits
 
     def _prefix_table(self, text: str) -> list[int]:
-        ending: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, match in self.automaton.iter(text):
-            ending[at].append(match)
-        last = [-1] * (len(text) + 1)
-        for at in range(len(text)):
-            for piece, size in ending[at]:
+        last, pairs = [-1] * (len(text) + 1), self.pairs
+        for at, (piece, size) in self.automaton.iter(text):  # by end, longest first
+            if last[at + 1] < 0:
                 before = at + 1 - size
-                if not before or (last[before] >= 0 and self._compatible(last[before], piece)):
+                if not before:
+                    last[at + 1] = piece
+                elif (left := last[before]) >= 0 and (fits if (fits := pairs.get((left, piece))) is not None else self._compatible(left, piece)):
                     last[at + 1] = piece
-                    break
         ids, at = [], len(text)
         while at:
             ids.append(last[at])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding
+from . import line_dedup, packing, piece_bpe, sharding
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_best_fit": packing.op2_best_fit,
+    "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op8_line_windows": line_dedup.op8_line_windows,
 }
 
