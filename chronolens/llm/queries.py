@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, piece_bpe, sharding
+from . import line_dedup, packing, piece_bpe, sharding, topk
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_best_fit": packing.op2_best_fit,
+    "op3_histogram_topk": topk.op3_histogram_topk,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op8_line_windows": line_dedup.op8_line_windows,
 }
 
 ORACLE_SQL = {
+    "op3_histogram_topk": topk.OP3_SQL,
     "op8_line_windows": line_dedup.OP8_SQL,
 }
