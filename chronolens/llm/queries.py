@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, piece_bpe, sharding, topk
+from . import line_dedup, near_dedup, packing, piece_bpe, sharding, topk
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_histogram_topk": topk.op3_histogram_topk,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op8_line_windows": line_dedup.op8_line_windows,
+    "op10_chosen_path": near_dedup.op10_chosen_path,
 }
 
 ORACLE_SQL = {
