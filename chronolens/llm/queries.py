@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup, packing, piece_bpe, sharding, topk
+from . import line_dedup, near_dedup, packing, piece_bpe, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_best_fit": packing.op2_best_fit,
     "op3_histogram_topk": topk.op3_histogram_topk,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
+    "op5_attention_gru": toxicity.op5_attention_gru,
     "op8_line_windows": line_dedup.op8_line_windows,
     "op10_chosen_path": near_dedup.op10_chosen_path,
 }
