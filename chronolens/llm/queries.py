@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup, packing, piece_bpe, sharding, topk, toxicity
+from . import line_dedup, near_dedup, packing, piece_bpe, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_attention_gru": toxicity.op5_attention_gru,
     "op8_line_windows": line_dedup.op8_line_windows,
+    "op9_forest_secrets": secrets.op9_forest_secrets,
     "op10_chosen_path": near_dedup.op10_chosen_path,
 }
 
