@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, line_dedup, near_dedup, packing, piece_bpe, secrets, sharding, topk, toxicity
+from . import hnsw, line_dedup, near_dedup, packing, passages, piece_bpe, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_histogram_topk": topk.op3_histogram_topk,
     "op4_piece_bpe": piece_bpe.op4_piece_bpe,
     "op5_attention_gru": toxicity.op5_attention_gru,
+    "op6_compact_windows": passages.op6_compact_windows,
     "op7_shard_graphs": hnsw.op7_shard_graphs,
     "op8_line_windows": line_dedup.op8_line_windows,
     "op9_forest_secrets": secrets.op9_forest_secrets,
