@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from . import metric_queries
+
+_PARTS = (metric_queries,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)
