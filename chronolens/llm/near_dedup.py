@@ -1,12 +1,13 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents with equal shingle sets form one node of the join. In each of several independent trees a node follows the
-path of minwise tokens that the tree chooses: first one token, then, in places that stay crowded, two of the remaining
-ones at each level. Places of at most LIMIT nodes are compared exhaustively: sketches (agreement of the minhashes)
+path of minwise tokens that the tree chooses: first one token, then, in places that stay crowded, 1 / threshold further
+ones a level on average. Places of at most LIMIT nodes are compared exhaustively: sketches (agreement of the minhashes)
 first, then exact intersections of the full sets of those with a possible partner. Crowded places are dealt into
-chunks of that size that all share a few pivots, compared likewise, and branch further. Nodes already connected need no
-comparison, so a place whose nodes are all connected is finished; branching goes on until no other place is left. The
-number of trees follows from the recall wanted of a pair at the threshold that is separated only by its first token.
+chunks of that size that all share a few pivots and compared likewise. Nodes already connected need no comparison: a
+place whose nodes are all connected is finished, one where few nodes are left outside its largest component is
+finished by comparing these with all others, and the rest branch until none is left. The number of trees follows from
+the recall wanted of a pair at the threshold that is separated only by its first token.
 
 The sketch keeps a pair whose minhashes agree in at least SKETCH_FLOOR of SKETCH places; a pair at similarity 0.75
 falls below with a probability of about 1e-5, and must do so in every tree.
@@ -155,6 +156,49 @@ def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
+def places(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """path, n (nodes), major (its largest component), others (nodes outside that) of places with two components or more."""
+    comps = active.join(labels, "node").groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"))
+    info = comps.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
+    return info.filter("k > 1").select("path", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.m")).alias("others"))
+
+
+def work_groups(active: DataFrame, info: DataFrame, labels: DataFrame, level: int) -> DataFrame:
+    """group, node, comp: every place as groups of a bounded number of nodes.
+
+    A place of at most LIMIT nodes is one group. Where at most LIMIT nodes are outside the largest component, each of
+    them meets every chunk of that component. In any other place the chunks share PIVOTS nodes.
+    """
+    chunks = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / LIMIT)).otherwise(F.lit(1)).cast("long")
+    rows = active.join(info, "path").join(labels, "node").withColumn("chunks", chunks)
+    closing = (F.col("n") > LIMIT) & (F.col("others") <= LIMIT)
+    everywhere = closing & (F.col("comp") != F.col("major"))
+    own = F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks"))
+    at = F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
+    groups = rows.select("path", "node", "comp", F.explode(at).alias("chunk"))
+    crowd = rows.filter((F.col("n") > LIMIT) & ~closing)
+    picks = [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(level), F.lit(k))) for k in range(PIVOTS)]
+    pivots = (
+        crowd.groupBy("path").agg(F.array_distinct(F.array(*picks)).alias("p"), F.first("chunks").alias("chunks"))
+        .select("path", F.explode("p").alias("p"), "chunks")
+        .select("path", "p.node", "p.comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    )
+    return groups.unionByName(pivots).distinct().select(F.xxhash64("path", "chunk").alias("group"), "node", "comp")
+
+
+def onward(crowd: DataFrame, labels: DataFrame, members: DataFrame, level: int, share: float) -> DataFrame:
+    """path, node of the next level: places that few nodes keep open stay, others branch by 1 / share tokens on average."""
+    info = places(crowd, labels).select("path", (F.col("others") <= LIMIT).alias("stays"))
+    rows = crowd.join(info, "path").join(members.select("node", "sig"), "node")
+    token = [
+        F.xxhash64("path", F.lit(k), coordinate("sig", F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")))
+        for k in range(2)
+    ]
+    second = F.pmod(F.xxhash64("path", F.lit("branch")), F.lit(1000)) < round(1000 * (1 / share - 1))
+    paths = F.when(F.col("stays"), F.array("path")).when(second, F.array(*token)).otherwise(F.array(token[0]))
+    return rows.select(F.explode(paths).alias("path"), "node")
+
+
 def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     share = percent / 100
@@ -177,39 +221,19 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     for batch in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
         active, level = placed.filter(batch).select("path", "node"), 0
         while True:
-            here = active.join(labels, "node")
-            ends = [F.min_by("node", F.xxhash64("node", F.lit(level), F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-            info = here.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *ends)
-            info = store(info.filter((F.col("n") > 1) & (F.col("low") != F.col("high"))).drop("low", "high"))
+            info = store(places(active, labels))
             if not info.limit(1).count():
                 break
-            chunks = F.ceil(F.col("n") / LIMIT)
-            part = F.pmod(F.xxhash64("node", F.lit(level)), chunks)
-            groups = active.join(info.select("path", "n"), "path").select(F.xxhash64("path", part).alias("group"), "node")
-            pivots = (
-                info.filter(F.col("n") > LIMIT)
-                .select("path", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("node"), chunks.alias("c"))
-                .select("path", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("chunk"))
-                .select(F.xxhash64("path", "chunk").alias("group"), "node")
-            )
-            work = groups.unionByName(pivots).distinct().join(members.select("node", "n_shingles", "sig"), "node").join(labels, "node")
+            work = work_groups(active, info, labels, level).join(members.select("node", "n_shingles", "sig"), "node")
             maybe = store(by_group(work, "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
             links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
             drop_stored(maybe)
             if links.limit(1).count():
                 merged = component_map(links).withColumnRenamed("c", "comp")
                 labels = store(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-            level += 1
-            branches = 1 if level < 2 else 2
-            onward = active.join(info.filter(F.col("n") > LIMIT).select("path"), "path").join(members.select("node", "sig"), "node")
-            tokens = [
-                F.xxhash64("path", F.lit(k), coordinate("sig", F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")))
-                for k in range(branches)
-            ]
-            active = store(onward.select(F.explode(F.array(*tokens)).alias("path"), "node"))
+            crowd = info.filter((F.col("n") > LIMIT) & (F.col("others") > LIMIT)).select("path")
+            active, level = store(onward(active.join(crowd, "path"), labels, members, level, share)), level + 1
             drop_stored(info)
-            if level > SKETCH or not active.limit(1).count():
-                break
     found = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = found.groupBy("comp").agg(F.min("id").alias("component_id"))
     classes = store(found.join(smallest, "comp").select("node", "component_id"))
