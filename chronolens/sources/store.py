@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canonical import canonical_text
+
 MANIFEST = "domain string, day date, stage string, rows long"
 
 
@@ -60,12 +65,6 @@ class Store:
 
     def read_packets(self, domain: str, day: str) -> DataFrame:
         """canonical, content_hash; every line must survive parsing and re-rendering unchanged."""
-        import json
-
-        import pandas as pd
-
-        from ..functions.canonical import canonical_text
-
         @F.pandas_udf(T.BooleanType())
         def same(lines: pd.Series) -> pd.Series:
             return lines.map(lambda x: canonical_text(json.loads(x)) == x)
