@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import event_queries, group_queries, metric_queries, model_queries, price_queries
+from . import event_queries, group_queries, metric_queries, model_queries, packet_queries, price_queries
 
-_PARTS = (metric_queries, event_queries, price_queries, model_queries, group_queries)
+_PARTS = (metric_queries, event_queries, price_queries, model_queries, group_queries, packet_queries)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
