@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .features import FEATURES
@@ -54,51 +56,93 @@ def fitted_rates(training: DataFrame) -> DataFrame:
     return days.groupBy("block").agg(F.avg("rose").alias("base_rate"), F.sum("filings").alias("train_events"), F.count(F.lit(1)).alias("train_issuer_days"))
 
 
-def fit(training: DataFrame, features: tuple[str, ...] = FEATURES):
-    """A pipeline that standardises with weighted population moments (a constant is scaled by 1) and fits L2 logistic regression, C = 1."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import SQLTransformer, VectorAssembler
-
-    w = F.col("weight")
-    moments = training.agg(F.sum(w).alias("w"), F.min("outcome").alias("lo"), F.max("outcome").alias("hi"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f) for f in features]).first()
-    if moments["w"] is None or moments["lo"] == moments["hi"]:
-        raise DegenerateTrainingSetError("the training set holds one outcome only")
-    spread = training.agg(*[F.sqrt(F.sum(w * F.pow(F.col(f) - moments[f], 2)) / F.sum(w)).alias(f) for f in features]).first()
-    scaled = ", ".join(f"(`{f}` - {moments[f]!r}D) / {(spread[f] if spread[f] > 1e-12 else 1.0)!r}D AS _z_{f}" for f in features)
-    model = Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"_z_{f}" for f in features], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="outcome", weightCol="weight", standardization=False, regParam=1.0 / moments["w"], maxIter=1000, tol=1e-10),
-    ])
-    return model.fit(training)
-
-
-def forecast(model, rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    made = ["_features", "rawPrediction", "probability", "prediction", *[c for c in (f"_z_{f}" for f in FEATURES)]]
-    return model.transform(rows.withColumn("weight", F.lit(1.0))).withColumn("forecast", vector_to_array("probability")[1]).drop("weight", *made)
-
-
-def coefficients(model, features: tuple[str, ...] = FEATURES) -> dict[str, float]:
+@dataclass(frozen=True)
+class Baseline:
+    """Standardisation and weights of one block, in feature order."""
+
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+
+def _parameters(spark: SparkSession, rows: dict[int, list[float]], prefix: str) -> DataFrame:
+    """One row a block, broadcast: tens of them."""
+    width = len(next(iter(rows.values())))
+    schema = "block long, " + ", ".join(f"{prefix}{k} double" for k in range(width))
+    return F.broadcast(spark.createDataFrame([(b, *map(float, v)) for b, v in sorted(rows.items())], schema))
+
+
+def fit_blocks(training: DataFrame, features: tuple[str, ...] = FEATURES, tolerance: float = 1e-10, max_iter: int = 50) -> dict[int, Baseline]:
+    """Weighted standardisation (population variance, a constant scaled by 1) and L2 logistic regression with C = 1, every block at once.
+
+    Newton's method: each step is one aggregation of gradient and curvature by block, so the number of jobs follows the
+    steps (about six), not the blocks.
+    """
+    spark, w, d = training.sparkSession, F.col("weight"), len(features)
+    first = training.groupBy("block").agg(F.sum(w).alias("w"), F.min("outcome").alias("lo"), F.max("outcome").alias("hi"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"m{k}") for k, f in enumerate(features)]).collect()
+    if not first or any(r["lo"] == r["hi"] for r in first):
+        raise DegenerateTrainingSetError("a training set holds one outcome only")
+    means = {r["block"]: [r[f"m{k}"] for k in range(d)] for r in first}
+    centred = training.join(_parameters(spark, means, "m"), "block")
+    spread = centred.groupBy("block").agg(*[F.sqrt(F.sum(w * F.pow(F.col(f) - F.col(f"m{k}"), 2)) / F.sum(w)).alias(f"s{k}") for k, f in enumerate(features)]).collect()
+    scales = {r["block"]: [r[f"s{k}"] if r[f"s{k}"] > 1e-12 else 1.0 for k in range(d)] for r in spread}
+    z = [((F.col(f) - F.col(f"m{k}")) / F.col(f"s{k}")).alias(f"z{k}") for k, f in enumerate(features)]
+    rows = centred.join(_parameters(spark, scales, "s"), "block").select("block", w, F.col("outcome").cast("double").alias("y"), *z, F.lit(1.0).alias(f"z{d}")).persist()
+    beta = {b: np.zeros(d + 1) for b in means}
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    ridge = np.diag([1.0] * d + [0.0])
+    active = set(beta)
+    for _ in range(max_iter):
+        now = rows.join(_parameters(spark, {b: beta[b].tolist() for b in active}, "b"), "block")
+        score = reduce(lambda a, b: a + b, [F.col(f"z{k}") * F.col(f"b{k}") for k in range(d + 1)])
+        now = now.withColumn("p", 1 / (1 + F.exp(-score))).withColumns({"g": w * (F.col("p") - F.col("y")), "h": w * F.col("p") * (1 - F.col("p"))})
+        sums = now.groupBy("block").agg(*[F.sum(F.col("g") * F.col(f"z{k}")).alias(f"g{k}") for k in range(d + 1)], *[F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in pairs]).collect()
+        for r in sums:
+            own = beta[r["block"]]
+            slope = np.array([r[f"g{k}"] for k in range(d + 1)]) + ridge @ own
+            bend = np.zeros((d + 1, d + 1))
+            for i, j in pairs:
+                bend[i, j] = bend[j, i] = r[f"h{i}_{j}"]
+            step = np.linalg.solve(bend + ridge, slope)
+            step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+            beta[r["block"]] = own - step
+            if np.abs(step).max() < tolerance:
+                active.discard(r["block"])
+        if not active:
+            break
+    rows.unpersist()
+    return {b: Baseline(tuple(means[b]), tuple(scales[b]), tuple(map(float, v[:d])), float(v[d])) for b, v in beta.items()}
+
+
+def fit(training: DataFrame, features: tuple[str, ...] = FEATURES) -> Baseline:
+    return fit_blocks(training.withColumn("block", F.lit(0).cast("long")), features)[0]
+
+
+def forecast(models: dict[int, Baseline], rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """rows (with block) and forecast, the chance that the return is above zero."""
+    flat = {b: [x / s for x, s in zip(m.weights, m.scales, strict=True)] + [m.intercept - sum(x * a / s for x, a, s in zip(m.weights, m.means, m.scales, strict=True))] for b, m in models.items()}
+    joined = rows.join(_parameters(rows.sparkSession, flat, "_b"), "block")
+    score = reduce(lambda a, b: a + b, [F.col(f) * F.col(f"_b{k}") for k, f in enumerate(features)], F.col(f"_b{len(features)}"))
+    return joined.withColumn("forecast", 1 / (1 + F.exp(-score))).drop(*[f"_b{k}" for k in range(len(features) + 1)])
+
+
+def coefficients(model: Baseline, features: tuple[str, ...] = FEATURES) -> dict[str, float]:
     """Standardised weights by name."""
-    return dict(zip(features, map(float, model.stages[-1].coefficients), strict=True))
+    return dict(zip(features, model.weights, strict=True))
 
 
 def forecast_walk_forward(events: DataFrame, fraction: float = INITIAL_FRACTION, refit_every: int = REFIT_EVERY) -> tuple[DataFrame, list[dict]]:
-    """Scored events with forecast, block and base_rate, and one entry a fold with its weights. Fits follow the number of blocks, tens at most."""
+    """Scored events with forecast, block and base_rate, and one entry a fold with its weights."""
     days = walk_blocks(events, fraction, refit_every)
-    folds = [r for r in days.filter("block IS NOT NULL").groupBy("block", "block_start").count().orderBy("block").collect()]
-    if len(folds) == 0 or sum(f["count"] for f in folds) < 2:
+    folds = days.filter("block IS NOT NULL").groupBy("block", "block_start").count().orderBy("block").collect()
+    if sum(f["count"] for f in folds) < 2:
         raise InsufficientObservationsError("the walk leaves fewer than two scored days")
     training = training_rows(events, days).persist()
     rates = {r["block"]: r for r in fitted_rates(training).collect()}
-    parts, reports = [], []
-    for fold in folds:
-        own = training.filter(F.col("block") == fold["block"])
-        model = fit(own)
-        scored = events.join(F.broadcast(days.filter(F.col("block") == fold["block"]).select("day")), "day")
-        parts.append(forecast(model, scored).withColumns({"block": F.lit(fold["block"]), "base_rate": F.lit(rates[fold["block"]]["base_rate"])}))
-        reports.append({"block": fold["block"], "start": fold["block_start"], **rates[fold["block"]].asDict(), "coefficients": coefficients(model)})
-    return reduce(DataFrame.unionByName, parts), reports
+    models = fit_blocks(training)
+    training.unpersist()
+    scored = events.join(F.broadcast(days.filter("block IS NOT NULL").select("day", "block")), "day")  # one row a day
+    scored = forecast(models, scored).join(_parameters(events.sparkSession, {b: [r["base_rate"]] for b, r in rates.items()}, "_r"), "block").withColumnRenamed("_r0", "base_rate")
+    reports = [{"block": f["block"], "start": f["block_start"], **rates[f["block"]].asDict(), "coefficients": coefficients(models[f["block"]])} for f in folds]
+    return scored, reports
