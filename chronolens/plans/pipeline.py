@@ -24,21 +24,23 @@ def ingest_day(store: Store, form4_rows: DataFrame, day: str, floor: float = eve
     """Store the day's screened trades. Rejections are written before any guard may stop the day."""
     found, lost = readers.insider_events(form4_rows)
     reasons = {r["reason"]: r["count"] for r in lost.groupBy("reason").count().collect()}
-    store.replace(lost.select("accession_no", F.lit(None).cast("string").alias("ticker"), "reason"), "insider", day, "exclusions")
+    store.replace(lost.select("accession_no", F.lit(None).cast("string").alias("ticker"), "reason"), "insider", day, schemas.EXCLUSION, "exclusions")
     attempted = form4_rows.select("accession_no").distinct().count()
     late, unlisted = reasons.get("no acceptance time", 0), reasons.get("unpriceable issuer", 0)
     if guards.parse_breakage(reasons.get("unreadable cell", 0), attempted - late, unlisted, late):
         raise guards.GuardError(f"{reasons} of {attempted} filings were rejected on {day}")
-    kept = store.replace(events.insider_screen(found, floor), "insider", day)
+    kept = store.replace(events.insider_screen(found, floor).withColumnRenamed("is_plan", "is_10b5_1"), "insider", day, schemas.INSIDER_EVENT)
     return {"events": kept, "rejected": reasons.get("unreadable cell", 0) + late, "unpriceable": unlisted}
 
 
 def ingest_reports(store: Store, reports: DataFrame, facts: DataFrame, day: str) -> dict[str, int]:
     """Store the day's red-flag reports; cover pages are read for qualifying reports only."""
     flagged = events.redflag_events(reports)
+    named = {"as_of": "timestamp", "issuer": "string", "has_press_release": "boolean"}
+    flagged = flagged.withColumns({c: F.lit(None).cast(t) for c, t in named.items() if c not in flagged.columns})
     wanted = facts.join(flagged.select("accession_no", "cik"), "accession_no")
     securities = events.cover_securities(wanted).join(flagged.select("accession_no", "cik"), "accession_no")
-    return {"events": store.replace(events.with_ticker(flagged, events.choose_ticker(securities)), "redflag", day)}
+    return {"events": store.replace(events.with_ticker(flagged, events.choose_ticker(securities)), "redflag", day, schemas.REDFLAG_EVENT)}
 
 
 def resolve_day(store: Store, domain: str, day: str, bars: DataFrame, issuers: DataFrame, today: dt.date) -> dict[str, int]:
@@ -60,9 +62,9 @@ def resolve_day(store: Store, domain: str, day: str, bars: DataFrame, issuers: D
     if guards.labels_broken(counts["bad"] or 0, counts["all"]):
         raise guards.GuardError(f"{counts['bad']} of {counts['all']} events of {day} cannot be measured")
     bad = labelled.filter("reason IS NOT NULL").select("accession_no", F.col("symbol").alias("ticker"), "reason")
-    store.replace(bad.unionByName(gone.select("accession_no", F.lit(None).cast("string").alias("ticker"), "reason")), domain, day, "label-exclusions")
+    store.replace(bad.unionByName(gone.select("accession_no", F.lit(None).cast("string").alias("ticker"), "reason")), domain, day, schemas.EXCLUSION, "label-exclusions")
     good = labelled.filter("reason IS NULL").select("accession_no", "abnormal_return", F.col("benchmark").alias("benchmark_symbol"), F.lit(span).cast("long").alias("horizon_days"), "entry_session", "exit_session", "ticker_source")
-    return {"labels": store.replace(good, domain, day, "labels"), "excluded": counts["bad"] or 0}
+    return {"labels": store.replace(good, domain, day, schemas.LABEL, "labels"), "excluded": counts["bad"] or 0}
 
 
 def build_packets(store: Store, rows: DataFrame, bars: DataFrame, day: str) -> DataFrame:

@@ -27,8 +27,9 @@ class Store:
     def _path(self, stage: str, domain: str, day: str) -> str:
         return f"{self.root}/{stage}/domain={domain}/day={day}"
 
-    def replace(self, rows: DataFrame, domain: str, day: str, stage: str = "events") -> int:
-        """Replace one partition; an empty result removes the old rows and is recorded as processed."""
+    def replace(self, rows: DataFrame, domain: str, day: str, schema: T.StructType, stage: str = "events") -> int:
+        """Replace one partition, cast to the declared schema; an empty result removes the old rows and is recorded as processed."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         rows.write.mode("overwrite").parquet(self._path(stage, domain, day))
         n = self.spark.read.schema(rows.schema).parquet(self._path(stage, domain, day)).count()
         entry = self.spark.createDataFrame([(domain, day, stage, n)], "domain string, day string, stage string, rows long")
