@@ -20,6 +20,8 @@ from .common import interval_index, store, table
 TEXT_BITS = 40
 ROUND_BITS = (10, 10, 10, 10, 12, 12)
 LAST_KEY = 2**63 - 1
+# of a range, a sixteenth of a shard: 0.13 % and 3 % of a shard
+TOLERANCE, TEXT_SLACK = 0.02, 0.5
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
@@ -31,11 +33,12 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
+def find_splitters(keys: DataFrame, parts: int, tolerance: float, text_slack: float) -> list[int]:
     """Ascending keys that cut `keys` (key long, size long) into parts of near-equal summed size.
 
     A boundary is taken when it lies within tolerance x (total / parts) of its target. The first rounds only offer
-    boundaries between different texts; the last two also cut inside one.
+    boundaries between different texts, and their last one takes whatever lies within text_slack; copies of one text
+    are cut only where no boundary between texts is that near.
     """
     open_bins: dict[int, tuple[int, list[int]]] = {}
     found: dict[int, int] = {}
@@ -53,7 +56,7 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
                 return [LAST_KEY] * (parts - 1)
             goal = [total * (j + 1) / parts for j in range(parts - 1)]
             open_bins = {0: (0, list(range(parts - 1)))}
-        slack, narrower = tolerance * total / parts, {}
+        slack, narrower = (text_slack if bits == TEXT_BITS else tolerance) * total / parts, {}
         for parent, (below, targets) in open_bins.items():
             waiting = iter(targets)
             j = next(waiting, None)
@@ -72,12 +75,12 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[int]:
     return [found[j] for j in range(parts - 1)]
 
 
-def assign_ranges(keyed: DataFrame, shards: int, ranges_per_shard: int, tolerance: float) -> DataFrame:
+def assign_ranges(keyed: DataFrame, shards: int, ranges_per_shard: int, tolerance: float, text_slack: float) -> DataFrame:
     """Add shard, range (a slice of one shard) and slot (gapless position in the shard, in key order).
 
     Slots come from the row counts of the ranges plus a position within one range, so no task ever holds a shard.
     """
-    splitters = find_splitters(keyed.select("key", "size"), shards * ranges_per_shard, tolerance)
+    splitters = find_splitters(keyed.select("key", "size"), shards * ranges_per_shard, tolerance, text_slack)
     ranged = keyed.withColumn("range", interval_index(F.col("key"), splitters))
     shard = F.floor(F.col("range") / ranges_per_shard).cast("int")
     before = (
@@ -94,7 +97,7 @@ def assign_ranges(keyed: DataFrame, shards: int, ranges_per_shard: int, toleranc
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 16, tolerance: float = 0.02) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 16, tolerance: float = TOLERANCE, text_slack: float = TEXT_SLACK) -> DataFrame:
     """doc_id, size, text_crc32, shard, range and slot of every document; sizes of shards are near equal."""
     keyed = store(
         docs.select(
@@ -103,14 +106,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 1
             sort_key(F.col("text"), F.col("doc_id")).alias("key"),
         )
     )
-    return assign_ranges(keyed, shards, ranges_per_shard, tolerance)
+    return assign_ranges(keyed, shards, ranges_per_shard, tolerance, text_slack)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges_per_shard: int = 16, tolerance: float = 0.02) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges_per_shard: int = 16, tolerance: float = TOLERANCE, text_slack: float = TEXT_SLACK) -> None:
     """Write whole documents in key order under path/shard=N/, one exchange after the splitters are known."""
     keyed = docs.withColumns({"key": sort_key(F.col("text"), F.col("doc_id")), "size": text_size(F.col("text"))})
     parts = shards * ranges_per_shard
-    splitters = find_splitters(keyed.select("key", "size"), parts, tolerance)
+    splitters = find_splitters(keyed.select("key", "size"), parts, tolerance, text_slack)
     (
         keyed.withColumn("range", interval_index(F.col("key"), splitters))
         .withColumn("shard", F.floor(F.col("range") / ranges_per_shard).cast("int"))
