@@ -33,11 +33,11 @@ from .shingles import SHINGLE_WORDS, MinHasher, set_digest, shingle_set
 
 SKETCH = 64
 SKETCH_FLOOR = 32
-LIMIT = 256
+LIMIT = 512
 PIVOTS = 4
 RECALL = 0.99999
 FIRST_TREES = 2
-DENSE_CELLS = 12_000_000
+DENSE_CELLS, RANGE_MEMBERS = 4_000_000, 500_000
 
 
 def trees_for(recall: float, threshold: float) -> int:
@@ -110,12 +110,38 @@ def possible_partners(group: pa.Table, floor: int, share: float) -> pa.Table | N
     return group.filter(pa.array(near.any(axis=1))).select(["group", "node", "comp"])
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of ascending sets (not of a set with itself), by products of 0-1 matrices.
+
+    One range of values after the other and, within it, blocks of the members that sets share, so memory stays bounded.
+    """
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    parts = max(1, -(-sum(map(len, sets)) // RANGE_MEMBERS))
+    bounds = [int(k * 2**64 / parts) for k in range(1, parts)]
+    cuts = [[0, *np.searchsorted(s, np.array(bounds, np.uint64)).tolist(), len(s)] for s in sets]
+    for part in range(parts):
+        own = [s[c[part] : c[part + 1]] for s, c in zip(sets, cuts, strict=True)]
+        _, inverse, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        keep = counts[inverse] > 1
+        columns = (np.cumsum(counts > 1) - 1)[inverse[keep]]
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in own])[keep]
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        step, total = max(1, DENSE_CELLS // len(sets)), int((counts > 1).sum())
+        for lo in range(0, total, step):
+            first, last = np.searchsorted(columns, [lo, lo + step])
+            block = np.zeros((len(sets), min(step, total - lo)), np.float32)
+            block[rows[first:last], columns[first:last] - lo] = 1
+            shared += block @ block.T
+    return shared.astype(np.int64)
+
+
 def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
-    """Links (a, b) between components of a group, confirmed on full shingle sets; as many as connect them."""
+    """Links (a, b) from the smallest to every other component that confirmed links on full shingle sets join to it."""
     rows = {}
-    for node, comp, text in zip(*(group.column(c).to_pylist() for c in ("node", "comp", "text")), strict=True):
+    for node, comp, text in zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), group.column("text"), strict=True):
         if node not in rows:
-            own = shingle_set(text, width)
+            own = shingle_set(text.as_py(), width)
             if set_digest(own) == node:  # else another text under the same doc_id
                 rows[node] = (comp, own)
     comps, sets = [c for c, _ in rows.values()], [s for _, s in rows.values()]
@@ -129,28 +155,15 @@ def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
             parent[c] = c = parent[parent[c]]
         return c
 
-    columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    shared = None
-    if len(sets) * (columns.max() + 1) <= DENSE_CELLS:
-        dense = np.zeros((len(sets), columns.max() + 1), np.float32)
-        dense[np.repeat(np.arange(len(sets)), sizes), columns] = 1
-        shared = (dense @ dense.T).astype(np.int64)
-    links: list[tuple[bytes, bytes]] = []
-    for i in range(1, len(sets)):
-        small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
-        at = np.flatnonzero(100 * small >= percent * large)
-        if shared is not None:
-            at = at[(100 + percent) * shared[i, at] >= percent * (sizes[at] + sizes[i])]
-        for j in at.tolist():
-            a, b = root(comps[i]), root(comps[j])
-            if a == b:
-                continue
-            if shared is None:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if (100 + percent) * both < percent * (sizes[i] + sizes[j]):
-                    continue
+    shared = intersections(sets)
+    own = np.unique(np.array(comps, dtype=object), return_inverse=True)[1]
+    both = sizes[:, None] + sizes[None, :]
+    linked = ((100 + percent) * shared >= percent * both) & (own[:, None] < own[None, :])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = root(comps[i]), root(comps[j])
+        if a != b:
             parent[max(a, b)] = min(a, b)
-            links.append((comps[i], comps[j]))
+    links = [(root(c), c) for c in parent if root(c) != c]
     if not links:
         return None
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
