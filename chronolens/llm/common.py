@@ -41,8 +41,12 @@ def drop_stored(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+SMALL_ROWS = 200_000
+
+
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition if it has few rows, so that grouping and joining it needs no exchange; else as it is."""
+    return df.coalesce(1) if rows <= SMALL_ROWS else df
 
 
 def interval_index(value: Column, splitters: Sequence[int]) -> Column:

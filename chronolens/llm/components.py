@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store
+from .common import drop_stored, store, together
 
 
 def component_map(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,19 @@ def component_map(edges: DataFrame) -> DataFrame:
     edges are rewritten between the ends, so vertices with edges at least halve. Partial minima bound what a
     well-connected vertex costs.
     """
-    edges = store(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows = edges.count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        return together(store(df), rows)
+
+    edges = kept(together(edges, rows).filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        hook = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         while True:  # hooks lead to smaller vertices; follow them to the end, twice as far each time
             onward = hook.select(F.col("a").alias("x"), F.col("m").alias("n"))
-            longer = store(hook.join(onward, F.col("m") == F.col("x")).select("a", F.col("n").alias("m"), (F.col("n") < F.col("m")).alias("moved")))
+            longer = kept(hook.join(onward, F.col("m") == F.col("x")).select("a", F.col("n").alias("m"), (F.col("n") < F.col("m")).alias("moved")))
             moved = longer.filter("moved").limit(1).count()
             drop_stored(hook)
             hook = longer.drop("moved")
@@ -32,7 +37,7 @@ def component_map(edges: DataFrame) -> DataFrame:
         low, high = hook.select(F.col("a").alias("x"), F.col("m").alias("ma")), hook.select(F.col("a").alias("y"), F.col("m").alias("mb"))
         ends = edges.join(low, F.col("a") == F.col("x")).join(high, F.col("b") == F.col("y")).select(F.col("ma").alias("a"), F.col("mb").alias("b"))
         ends = ends.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        old, edges = edges, store(ends)
+        old, edges = edges, kept(ends)
         drop_stored(old)
     if not hooks:
         return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))

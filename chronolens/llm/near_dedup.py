@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store, table
+from .common import drop_stored, store, table, together
 from .components import component_map
 from .shingles import SHINGLE_WORDS, MinHasher, set_digest, shingle_set
 
 SKETCH = 64
 SKETCH_FLOOR = 32
-LIMIT = 512
+LIMIT = 1024
 PIVOTS = 4
 RECALL = 0.99999
 FIRST_TREES = 2
@@ -169,47 +169,53 @@ def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
-def places(active: DataFrame, labels: DataFrame) -> DataFrame:
+def places(active: DataFrame) -> DataFrame:
     """path, n (nodes), major (its largest component), others (nodes outside that) of places with two components or more."""
-    comps = active.join(labels, "node").groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"))
+    comps = together(active.select("path", "comp"), active.count()).groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"))
     info = comps.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
     return info.filter("k > 1").select("path", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.m")).alias("others"))
 
 
-def work_groups(active: DataFrame, info: DataFrame, labels: DataFrame, level: int) -> DataFrame:
-    """group, node, comp: every place as groups of a bounded number of nodes.
+def work_groups(active: DataFrame, info: DataFrame, level: int) -> DataFrame:
+    """group, node, comp, n_shingles, sig: every place as groups of a bounded number of nodes (a pivot may come twice).
 
     A place of at most LIMIT nodes is one group. Where at most LIMIT nodes are outside the largest component, each of
     them meets every chunk of that component. In any other place the chunks share PIVOTS nodes.
     """
+    own = ["node", "comp", "n_shingles", "sig"]
     chunks = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / LIMIT)).otherwise(F.lit(1)).cast("long")
-    rows = active.join(info, "path").join(labels, "node").withColumn("chunks", chunks)
+    rows = active.join(info, "path").withColumn("chunks", chunks)
     closing = (F.col("n") > LIMIT) & (F.col("others") <= LIMIT)
     everywhere = closing & (F.col("comp") != F.col("major"))
-    own = F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks"))
-    at = F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
-    groups = rows.select("path", "node", "comp", F.explode(at).alias("chunk"))
-    crowd = rows.filter((F.col("n") > LIMIT) & ~closing)
-    picks = [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(level), F.lit(k))) for k in range(PIVOTS)]
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    at = F.when(everywhere, every).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks"))))
+    groups = rows.select("path", *own, F.explode(at).alias("chunk"))
+    picks = [F.min_by(F.struct(*own), F.xxhash64("node", F.lit(level), F.lit(k))) for k in range(PIVOTS)]
     pivots = (
-        crowd.groupBy("path").agg(F.array_distinct(F.array(*picks)).alias("p"), F.first("chunks").alias("chunks"))
-        .select("path", F.explode("p").alias("p"), "chunks")
-        .select("path", "p.node", "p.comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+        rows.filter((F.col("n") > LIMIT) & ~closing).groupBy("path").agg(F.array_distinct(F.array(*picks)).alias("p"), F.first("chunks").alias("chunks"))
+        .select("path", F.explode("p").alias("p"), "chunks").select("path", "p.*", F.explode(every).alias("chunk"))
     )
-    return groups.unionByName(pivots).distinct().select(F.xxhash64("path", "chunk").alias("group"), "node", "comp")
+    return groups.unionByName(pivots).select(F.xxhash64("path", "chunk").alias("group"), *own)
 
 
-def onward(crowd: DataFrame, labels: DataFrame, members: DataFrame, level: int, share: float) -> DataFrame:
-    """path, node of the next level: places that few nodes keep open stay, others branch by 1 / share tokens on average."""
-    info = places(crowd, labels).select("path", (F.col("others") <= LIMIT).alias("stays"))
-    rows = crowd.join(info, "path").join(members.select("node", "sig"), "node")
+def onward(crowd: DataFrame, level: int, share: float) -> DataFrame:
+    """The rows of the next level: places stay once, so that few left nodes can be finished, then branch by 1 / share tokens on average."""
+    if level == 0:
+        return crowd
     token = [
         F.xxhash64("path", F.lit(k), coordinate("sig", F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")))
         for k in range(2)
     ]
     second = F.pmod(F.xxhash64("path", F.lit("branch")), F.lit(1000)) < round(1000 * (1 / share - 1))
-    paths = F.when(F.col("stays"), F.array("path")).when(second, F.array(*token)).otherwise(F.array(token[0]))
-    return rows.select(F.explode(paths).alias("path"), "node")
+    paths = F.when(second, F.array(*token)).otherwise(F.array(token[0]))
+    return crowd.select(F.explode(paths).alias("path"), "node", "comp", "n_shingles", "sig")
+
+
+def renamed(rows: DataFrame, merges: list[DataFrame]) -> DataFrame:
+    """rows with comp followed through the merges in order."""
+    for merged in merges:
+        rows = rows.join(merged.withColumnRenamed("c", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    return rows
 
 
 def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -230,24 +236,23 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     texts = store(
         docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id", "node"), "id").select("node", "text")
     )
-    labels = members.select("node", F.col("node").alias("comp"))
+    merges: list[DataFrame] = []
     for batch in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
-        active, level = placed.filter(batch).select("path", "node"), 0
-        while True:
-            info = store(places(active, labels))
-            if not info.limit(1).count():
-                break
-            work = work_groups(active, info, labels, level).join(members.select("node", "n_shingles", "sig"), "node")
-            maybe = store(by_group(work, "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
+        rows = placed.filter(batch).select("path", "node").join(members.select("node", "n_shingles", "sig"), "node").withColumn("comp", F.col("node"))
+        active, level = store(renamed(rows, merges)), 0
+        while (info := store(places(active))).limit(1).count():
+            maybe = store(by_group(work_groups(active, info, level), "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
             links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
             drop_stored(maybe)
-            if links.limit(1).count():
-                merged = component_map(links).withColumnRenamed("c", "comp")
-                labels = store(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+            merged = [store(component_map(links))] if links.limit(1).count() else []
+            merges += merged
             crowd = info.filter((F.col("n") > LIMIT) & (F.col("others") > LIMIT)).select("path")
-            active, level = store(onward(active.join(crowd, "path"), labels, members, level, share)), level + 1
+            last, active = active, store(renamed(onward(active.join(crowd, "path"), level, share), merged))
+            drop_stored(last)
             drop_stored(info)
-    found = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            level += 1
+        drop_stored(active)
+    found = renamed(nodes.select("node", "id", F.col("node").alias("comp")), merges)
     smallest = found.groupBy("comp").agg(F.min("id").alias("component_id"))
     classes = store(found.join(smallest, "comp").select("node", "component_id"))
     return (
