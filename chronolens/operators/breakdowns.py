@@ -63,19 +63,16 @@ def pair_classes(pairs: DataFrame, history: DataFrame, accepted: str = "accepted
     """pairs (owner, issuer, accepted as Eastern date) with class: routine, opportunistic or unclassified.
 
     Only trades filed strictly before count, of the three calendar years before. All three years must have one; a month
-    that all three share makes the pair routine.
+    that all three share makes the pair routine. History is reduced to one row a pair first, at most twelve entries a
+    year, so events are joined without fan-out.
     """
-    first = F.year(accepted) - LOOKBACK_YEARS
-    usable = history.withColumnRenamed("filed", "_filed")
-    own = pairs.join(usable, ["owner", "issuer"], "left").filter(
-        F.col("_filed").isNull() | ((F.col("_filed") < F.col(accepted)) & F.col("year").between(first, F.year(accepted) - 1))
-    )
-    months = own.filter("_filed IS NOT NULL").groupBy("owner", "issuer", accepted, "month").agg(F.collect_set("year").alias("years"))
-    per = months.groupBy("owner", "issuer", accepted).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("years")))).alias("covered"), F.max(F.size("years")).alias("best")
-    )
-    kind = F.when(F.coalesce("covered", F.lit(0)) < LOOKBACK_YEARS, UNCLASSIFIED).when(F.col("best") == LOOKBACK_YEARS, "routine").otherwise("opportunistic")
-    return pairs.join(per, ["owner", "issuer", accepted], "left").withColumn("class", kind).drop("covered", "best")
+    months = history.groupBy("owner", "issuer", "year", "month").agg(F.min("filed").alias("filed"))  # the earliest filing decides
+    known = months.groupBy("owner", "issuer").agg(F.collect_list(F.struct("year", "month", "filed")).alias("_h"))
+    recent = F.filter("_h", lambda x: (x["filed"] < F.col(accepted)) & x["year"].between(F.year(accepted) - LOOKBACK_YEARS, F.year(accepted) - 1))
+    covered = F.size(F.array_distinct(F.transform("_recent", lambda x: x["year"])))
+    shared = F.exists(F.sequence(F.lit(1), F.lit(12)), lambda m: F.size(F.filter("_recent", lambda x: x["month"] == m)) == LOOKBACK_YEARS)
+    kind = F.when(F.col("_recent").isNull() | (covered < LOOKBACK_YEARS), UNCLASSIFIED).when(shared, "routine").otherwise("opportunistic")
+    return pairs.join(known, ["owner", "issuer"], "left").withColumn("_recent", recent).withColumn("class", kind).drop("_h", "_recent")
 
 
 def agreed(classes: Column, mixed: str = UNCLASSIFIED) -> Column:
