@@ -13,8 +13,10 @@ The sketch keeps a pair whose minhashes agree in at least SKETCH_FLOOR of SKETCH
 falls below with a probability of about 1e-5, and must do so in every tree.
 
 Defined cases: texts that are null or hold no word have an empty set, are linked with nothing and form their own
-component; rows of one doc_id are linked through it; equal texts, repeated rows and very long texts are ordinary
-cases; an empty table gives an empty result; other columns are carried along by ``keep_one`` and never read.
+component; rows that share a doc_id have their own text's component, and ``keep_one`` drops the doc_id if one of them
+goes; rows without doc_id are linked with equal sets only and always kept; equal texts, repeated rows and very long
+texts are ordinary cases; an empty table gives an empty result; other columns are carried along by ``keep_one`` and
+never read.
 """
 
 from __future__ import annotations

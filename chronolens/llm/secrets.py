@@ -188,9 +188,9 @@ def with_findings(docs: DataFrame, trees: list[list]) -> DataFrame:
 
 
 def scan(docs: DataFrame, trees: list[list] | None = None) -> DataFrame:
-    """One row per finding: the columns of docs but text, start (character, from 0), finding, score, secret."""
+    """One row per finding: the columns of docs but text and those named like a result, start (character, from 0), finding, score, secret."""
     trees = trees or fit_forest(labelled_findings(docs.sparkSession))
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "start", "finding", "score", "secret")]
     return (
         with_findings(docs, trees).select(*rest, F.explode("_found").alias("_one"))
         .select(*rest, "_one.start", "_one.finding", "_one.score", (F.col("_one.score") >= THRESHOLD).alias("secret"))

@@ -6,8 +6,8 @@ spread over 2**24 keys. Each round sums the bytes of the bins that can hold a sp
 partial sums; only these sums (at most bins x open splitters) reach the driver. Rows move once, after the last round.
 
 Defined cases: a null text has size 1 and the checksum of an empty one; rows that repeat in full share a key and stay
-together; an empty table gives an empty result; input columns other than the two named are carried along by
-``assign_ranges`` and never read.
+together; an empty table gives an empty result; other columns are written by ``write_shards`` (one named shard is
+replaced) and never read.
 """
 
 from __future__ import annotations
@@ -111,14 +111,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 1
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges_per_shard: int = 16, tolerance: float = TOLERANCE, text_slack: float = TEXT_SLACK) -> None:
     """Write whole documents in key order under path/shard=N/, one exchange after the splitters are known."""
-    keyed = docs.withColumns({"key": sort_key(F.col("text"), F.col("doc_id")), "size": text_size(F.col("text"))})
+    key = sort_key(F.col("text"), F.col("doc_id"))
     parts = shards * ranges_per_shard
-    splitters = find_splitters(keyed.select("key", "size"), parts, tolerance, text_slack)
+    splitters = find_splitters(docs.select(key.alias("key"), text_size(F.col("text")).alias("size")), parts, tolerance, text_slack)
     (
-        keyed.withColumn("range", interval_index(F.col("key"), splitters))
-        .withColumn("shard", F.floor(F.col("range") / ranges_per_shard).cast("int"))
-        .repartition(parts, "range").sortWithinPartitions("range", "key")
-        .drop("key", "size", "range").write.partitionBy("shard").parquet(path)
+        docs.withColumn("_key", key).withColumn("_range", interval_index(F.col("_key"), splitters))
+        .withColumn("shard", F.floor(F.col("_range") / ranges_per_shard).cast("int"))
+        .repartition(parts, "_range").sortWithinPartitions("_range", "_key")
+        .drop("_key", "_range").write.partitionBy("shard").parquet(path)
     )
 
 

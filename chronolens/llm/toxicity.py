@@ -11,8 +11,8 @@ word, so a window costs its recurrent steps only.
 
 Defined cases: a text that is null or without words has no window and gets the score of one empty window; without
 labelled documents of both classes every score is the share of toxic ones (0 without any); labels that are neither 0
-nor 1 are left out; rows that repeat are scored each; an empty table gives an empty result; no column but text is ever
-an input of a score.
+nor 1 are left out; rows that repeat are scored each; an empty table gives an empty result; a column named score is
+replaced; no column but text is ever an input of a score.
 """
 
 from __future__ import annotations
@@ -294,7 +294,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     targets = [int(r["toxic"]) for r in sample]
     network = fit([r["text"] for r in sample], targets) if 0 < sum(targets) < len(targets) else None
     constant = sum(targets) / len(targets) if targets else 0.0
-    rows = docs if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.drop("score") if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
     names = rows.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,7 @@ def test_written_shards_hold_whole_documents(spark, texts, tmp_path):
     sharding.write_shards(documents(spark, texts), str(tmp_path / "s"), shards=4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter(r["text"] for r in back.collect()) == Counter(texts)
+    assert {(r["doc_id"], r["key"], r["size"], r["path"]) for r in back.collect()} == {(k, k, "x", "p") for k in range(len(texts))}
 
 
 # line dedup
@@ -192,6 +193,9 @@ def test_one_of_a_group_stays(spark, texts):
     assert kept.columns == documents(spark, texts).columns and near_dedup.near_components(documents(spark, ["x"]).limit(0)).count() == 0
     same = documents(spark, ["a b c d e f", "a b c d e f"], ids=[3, 3])
     assert near_dedup.keep_one(same).count() == 2
+    nameless = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], ids=[None, 4, None])
+    assert sorted(str(r["component_id"]) for r in near_dedup.near_components(nameless).collect()) == ["4", "4", "4"]
+    assert sorted(str(r["doc_id"]) for r in near_dedup.keep_one(nameless).collect()) == ["4", "None", "None"]
 
 
 # passages
@@ -228,6 +232,7 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
         assert r["doc_id"] != r["partner_id"] and min(len(a), len(b)) >= 50 and r["similarity"] >= 0.75
         assert len(one & two) / len(one | two) == pytest.approx(r["similarity"])
     assert passages.near_passages(documents(spark, ["x"]).limit(0)).count() == 0
+    assert passages.near_passages(documents(spark, ["Whole " + shared] * 3, ids=[None, 1, 1])).count() == 0
 
 
 # secrets
@@ -245,6 +250,8 @@ def test_secrets_are_told_from_lookalikes(spark):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, trees=trees).collect()}
     assert clean[2] == 'token = "[secret]" and on' and clean[3] == texts[3] and clean[0] is None and clean[8] == 'x token = "[secret]"' * 3
     assert secrets.scan(docs.limit(0), trees).count() == 0
+    clash = docs.withColumnRenamed("path", "score").withColumnRenamed("key", "start")
+    assert secrets.scan(clash, trees).filter("secret").count() == 5
 
 
 def test_compiled_forest_agrees_with_its_trees(spark):
@@ -293,4 +300,4 @@ def test_toxic_words_are_learnt_and_edge_rows_scored(spark):
     assert rows[300] == rows[301] == rows[302]
     constant = toxicity.score_documents(docs, labels.filter("toxic = 1"), keep=["doc_id"])
     assert {r["score"] for r in constant.collect()} == {1.0} and constant.columns == ["doc_id", "score"]
-    assert {r["score"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score_documents(docs.withColumnRenamed("path", "score"), labels.limit(0)).collect()} == {0.0}
