@@ -46,7 +46,7 @@ def reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filing_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return events.dedupe_first(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"]).select("l_orderkey", F.col("l_partkey"), "l_suppkey")
+    return events.dedupe_first(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", F.col("l_partkey"), "l_suppkey")
 
 
 def transaction_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ ORACLE_SQL = {
     "present_rows": f"WITH {_LI} SELECT count(*) AS rows, sum(l_linenumber)::BIGINT AS lines FROM t WHERE filing % 2 = 0 AND lower(trim(shares)) NOT IN {_BLANK}",
     "rejected_filings": f"WITH {_REJECT} SELECT filing FROM j WHERE rejected",
     "reject_rate": f"WITH {_REJECT} SELECT count(*) FILTER (rejected) AS rejected, count(*) AS attempted, round(count(*) FILTER (rejected) / count(*)::DOUBLE, 9) AS rate, count(*) FILTER (rejected) / count(*)::DOUBLE > 0.05 AS broken FROM j",
-    "filing_dedupe": "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1",
+    "filing_dedupe": "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1",
     "transaction_dedupe": "SELECT l_orderkey, count(*) AS transactions FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus, l_linenumber % 2 AS odd FROM lineitem) GROUP BY l_orderkey",
     "owner_sets": "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS owners, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_orderkey",
     "trigger_items": f"""WITH i AS (SELECT doc_id, unnest({_SQL_ITEMS}[doc_id % 5 + 1 : doc_id % 5 + n_chars % 3 + 1]) AS item FROM documents),
