@@ -235,6 +235,25 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert passages.near_passages(documents(spark, ["Whole " + shared] * 3, ids=[None, 1, 1])).count() == 0
 
 
+def passage_spans(text, other, seed):
+    own, theirs = (passages.shingle_hashes(passages.words_of(t)) for t in (text, other))
+    return passages.verified(own, theirs, np.argsort(theirs, kind="stable"), np.array([seed]), 46, 0.75)
+
+
+def test_verification_bridges_what_the_similarity_allows():
+    rng = random.Random(13)
+    passage = prose(rng, 98).split(" ")
+    replaced = passage[:45] + prose(rng, 9).split(" ") + passage[54:]
+    inserted = passage[:45] + prose(rng, 9).split(" ") + passage[45:90]
+    for one, two, likeness in ((passage, replaced, 81 / 107), (passage[:90], inserted, 82 / 99), (inserted, passage[:90], 82 / 99)):
+        text, other = " ".join([*prose(rng, 30).split(" "), *one]), " ".join([*prose(rng, 20).split(" "), *two])
+        assert [s[4] for s in passage_spans(text, other, 40)] == pytest.approx([likeness])
+    phrase, tail = prose(rng, 5), prose(rng, 60)
+    other = " ".join([f"{phrase} {prose(rng, 12)}" for _ in range(6)] + [phrase, tail])
+    [(x, y, x2, y2, likeness)] = passage_spans(f"{phrase} {tail}", other, 0)
+    assert (x, y, y2) == (0, 60, 162) and 51 < x2 <= 102 and likeness >= 0.75
+
+
 # secrets
 
 
