@@ -235,6 +235,17 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert passages.near_passages(documents(spark, ["Whole " + shared] * 3, ids=[None, 1, 1])).count() == 0
 
 
+def test_passages_meet_past_unrelated_representatives(spark):
+    rng = random.Random(8)
+    passages_, texts, others = [prose(rng, 60).split(" ") for _ in range(6)], [], []
+    for passage in passages_:  # every run of words of a passage is also in many texts that do not hold the passage
+        texts += [" ".join([prose(rng, 20), *passage, prose(rng, 30)]) for _ in range(2)]
+        for _ in range(60):
+            others.append(" ".join(x for at in rng.sample(range(51), 4) for x in (" ".join(passage[at : at + 10]), prose(rng, 8))))
+    rows = passages.near_passages(documents(spark, texts + others)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+
+
 def passage_spans(text, other, seed):
     own, theirs = (passages.shingle_hashes(passages.words_of(t)) for t in (text, other))
     return passages.verified(own, theirs, np.argsort(theirs, kind="stable"), np.array([seed]), 46, 0.75)
