@@ -128,7 +128,7 @@ def issuer_day_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" | ", F.col("turn").cast("string"), text.sanitised(F.col("role")), text.sanitised(F.left("text", F.lit(80)))).alias("line"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" | ", F.col("turn").cast("string"), text.sanitised(F.col("role")), text.sanitised(F.col("text"))).alias("line"))
     packed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
     return packed.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"))
 
