@@ -1,7 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as an embedding of the word, if the training texts hold it often enough, and the mean embedding of its
-character 3- and 4-grams. Windows of WINDOW words overlap by half and cover the whole text; a document's score is its
+character 3- and 4-grams. Runs of more than LONGEST word characters, as in texts without spaces, enter as overlapping
+pieces. Windows of WINDOW words overlap by half and cover the whole text; a document's score is its
 most toxic window's. Training is multiple-instance: each epoch picks the window of a document that scores highest and
 learns from it, for clean documents also from a random one.
 
@@ -35,17 +36,23 @@ GRAM_BUCKETS, MIN_DOCS, MAX_VOCABULARY = 16_384, 3, 3000
 MAX_PER_CLASS, MAX_CHARS = 1500, 6_000
 EPOCHS, MIN_STEPS, BATCH, RATE, DECAY, DROP = 8, 200, 128, 0.01, 0.1, 0.5
 CACHED_WORDS, CHUNK = 300_000, 1024
+LONGEST = 40
 FOLDS = 5
 
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case; a longer run becomes pieces of LONGEST characters that overlap by half, the last ending with it."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not found or max(map(len, found)) <= LONGEST:
+        return found
+    step = LONGEST // 2
+    return [run[i : i + LONGEST] for run in found for i in ([0] if len(run) <= LONGEST else [*range(0, len(run) - LONGEST, step), len(run) - LONGEST])]
 
 
 def grams_of(word: str) -> list[int]:
-    padded = f"<{word[:40]}>"
+    padded = f"<{word}>"
     return [zlib.crc32(padded[i : i + n].encode("utf-8", "surrogatepass")) % GRAM_BUCKETS for n in (3, 4) for i in range(max(1, len(padded) - n + 1))]
 
 

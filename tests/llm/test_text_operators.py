@@ -316,6 +316,23 @@ def test_windows_cover_whole_texts():
         assert covered == set(range(n))
 
 
+def test_every_character_of_a_long_run_has_influence():
+    rng = random.Random(14)
+    for n in (39, 40, 41, 60, 61, 500):
+        run = "".join(rng.choice("あいうえおかきくけこ") for _ in range(n))
+        pieces, ends = toxicity.words_of(run), 0
+        for piece in pieces:
+            at = run.index(piece)
+            assert at <= ends and len(piece) <= 40
+            ends = max(ends, at + len(piece))
+        assert ends == n
+    scorer = toxicity.Scorer(toxicity.Network({}))
+    run = "x" * 300
+    scores = scorer.scores([run, *(run[:k] + "毒" + run[k + 1 :] for k in (20, 41, 150, 299))])
+    assert all(s != scores[0] for s in scores[1:])
+    assert toxicity.words_of("short words stay_whole") == ["short", "words", "stay_whole"]
+
+
 def test_toxic_words_are_learnt_and_edge_rows_scored(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randrange(5, 200)) for _ in range(300)]
