@@ -1,6 +1,7 @@
 """Secret scan: patterns propose findings, a random forest removes the false ones, all inside SQL expressions.
 
-Findings are long runs of key-like characters that hold a digit, and values assigned to a name such as password. The
+Findings are long runs of key-like characters that hold a digit or begin like a known kind of key, and values assigned
+to a name that announces a credential. The
 forest sees a finding's length, its runs of character classes and consonant-vowel transitions, how much of it common
 words cover, whether it stands in a path, and the words around it. It is trained with Spark ML on labelled findings of
 fourteen kinds, made from row numbers by SQL functions (bounded by ``n`` of ``labelled_findings``), and then compiled
@@ -29,9 +30,11 @@ COMMON_PARTS = (
     "android|windows|linux|python|java|http|html|json|abcdef|qwerty|xxxx|0000|1234|chapter|section|table|figure|part|"
     "model|type|class|module|package|update|backup|copy|export|import|the|and|ing|tion|ment|able|for|with"
 )
+KNOWN_PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[bp]-|sk-|sk_live_|pk_live_|AIza|eyJ"
+NAME_END = "(?:[_ -]?(?:key|keys|id|ids|token|tokens|secret|secrets))?"
 FINDING = (
-    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
-    r"|(?<=[\s:=\"'])(?<=(?i:token|secret|passwd|password|pwd|api_key|api-key|apikey)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"']{8,}"
+    rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{{0,200}}[0-9]|{KNOWN_PREFIXES})[A-Za-z0-9_+/-]{{16,}}={{0,2}}"
+    rf"|(?<=[\s:=\"'])(?<=(?i:(?:{SECRET_WORDS})s?{NAME_END}{NAME_END})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"']{{8,}}"
 )
 BEFORE, AFTER = 48, 24
 TREES, DEPTH, THRESHOLD = 24, 6, 0.5
@@ -66,7 +69,7 @@ def feature_columns(text: Column, before: Column, after: Column) -> list[tuple[s
         ("quoted", flag(before.rlike("[\"'`]$"))),
         ("secret_words", flag(before.rlike(f"(?i)({SECRET_WORDS})"))),
         ("other_words", flag(before.rlike(f"(?i)\\b({OTHER_WORDS})\\b"))),
-        ("known_prefix", flag(text.rlike("^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[bp]-|sk-|sk_live_|pk_live_|AIza|eyJ)"))),
+        ("known_prefix", flag(text.rlike(f"^({KNOWN_PREFIXES})"))),
     ]
 
 
