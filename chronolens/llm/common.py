@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,38 +16,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none and is one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="chronolens-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the data."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the data.
+
+    What drop_stored() has not deleted before is deleted when the driver ends, since results read their tables lazily.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop, files = _file_system(spark, path)
+    files.deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by store() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/table-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-SMALL_ROWS = 200_000
-
-
-def together(df: DataFrame, rows: int) -> DataFrame:
-    """df in one partition if it has few rows, so that grouping and joining it needs no exchange; else as it is."""
-    return df.coalesce(1) if rows <= SMALL_ROWS else df
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by store() that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/table-" in path:
+                hadoop, files = _file_system(df.sparkSession, path)
+                files.delete(hadoop, True)
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def interval_index(value: Column, splitters: Sequence[int]) -> Column:

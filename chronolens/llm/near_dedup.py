@@ -1,22 +1,25 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Documents with equal shingle sets form one node of the join. In each of several independent trees a node follows the
-path of minwise tokens that the tree chooses: first one token, then, in places that stay crowded, 1 / threshold further
-ones a level on average. Places of at most LIMIT nodes are compared exhaustively: sketches (agreement of the minhashes)
-first, then exact intersections of the full sets of those with a possible partner. Crowded places are dealt into
-chunks of that size that all share a few pivots and compared likewise. Nodes already connected need no comparison: a
-place whose nodes are all connected is finished, one where few nodes are left outside its largest component is
-finished by comparing these with all others, and the rest branch until none is left. The number of trees follows from
-the recall wanted of a pair at the threshold that is separated only by its first token.
+Documents with equal shingle sets form one node of the join. In each of several independent trees a node goes to the
+place of its minwise token under the hash function of that tree. Places of bounded weight (nodes and shingles) are
+compared exhaustively: sketches (agreement of the minhashes) first, then exact intersections of the full sets of those
+with a possible partner. Heavier places are dealt into chunks of that weight that all share a few pivots and compared
+likewise; where all but a bounded rest of a place is one component already, the rest meets every chunk of it. The
+number of trees follows from the recall wanted of a pair at the threshold that is separated only by its first token.
+
+Nodes of places that stay crowded branch once more, by selected tokens instead of drawn ones: each goes to the places of
+its rarest shared tokens, so many that two sets at the threshold must have one of them in common (a quarter of the
+tokens; those that one node alone holds need no place). Branching therefore loses no pair. What is still crowded then
+is finished block against block, in groups of the same bounded weight, so there is no further level.
 
 The sketch keeps a pair whose minhashes agree in at least SKETCH_FLOOR of SKETCH places; a pair at similarity 0.75
-falls below with a probability of about 1e-5, and must do so in every tree.
+falls below with a probability of about 1e-7.
 
 Defined cases: texts that are null or hold no word have an empty set, are linked with nothing and form their own
 component; rows that share a doc_id have their own text's component, and ``keep_one`` drops the doc_id if one of them
-goes; rows without doc_id are linked with equal sets only and always kept; equal texts, repeated rows and very long
-texts are ordinary cases; an empty table gives an empty result; other columns are carried along by ``keep_one`` and
-never read.
+goes; rows without doc_id are linked like all others, have the smallest doc_id of their component (null if it has none)
+and are always kept; equal texts, repeated rows and very long texts are ordinary cases; an empty table gives an empty
+result; other columns are carried along by ``keep_one`` and never read.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store, table, together
+from .common import drop_stored, free_name, store, table
 from .components import component_map
 from .shingles import SHINGLE_WORDS, MinHasher, set_digest, shingle_set
 
 SKETCH = 64
-SKETCH_FLOOR = 32
-LIMIT = 1024
+SKETCH_FLOOR = 28
+LIMIT = 512  # nodes of a group
+SET_LIMIT = 2_000_000  # shingles of a group
 PIVOTS = 4
 RECALL = 0.99999
 FIRST_TREES = 2
@@ -47,7 +51,7 @@ def trees_for(recall: float, threshold: float) -> int:
 
 
 def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the shingle set, null if empty) and sig (its minhashes)."""
+    """doc_id, mark (a hash of the text), n_shingles, node (128-bit digest of the shingle set, null if empty) and sig (its minhashes)."""
     kind = docs.schema["doc_id"].dataType
     hasher = MinHasher(SKETCH)
 
@@ -59,14 +63,37 @@ def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 counts.append(len(own))
                 nodes.append(set_digest(own) if len(own) else None)
                 sigs.append(hasher(own).tobytes() if len(own) else None)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sig"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "sig"])
 
-    schema = f"doc_id {kind.simpleString()}, n_shingles long, node binary, sig binary"
-    return docs.select("doc_id", "text").mapInArrow(features, schema)
+    schema = f"doc_id {kind.simpleString()}, mark long, n_shingles long, node binary, sig binary"
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(features, schema)
 
 
-def coordinate(sig: str, at) -> F.Column:
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, tokens (ascending shingle hashes) of wanted (node, id, mark); repeated rows may give a node twice."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part, nodes, sets = batch.slice(lo, 500), [], []
+                for node, text in zip(part.column("node").to_pylist(), part.column("text"), strict=True):
+                    own = shingle_set(text.as_py(), width)
+                    if set_digest(own) == node:  # else another text with the same mark
+                        nodes.append(node)
+                        sets.append(own.view(np.int64))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+                values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["node", "tokens"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    named = texts.filter(F.col("id").isNotNull()).join(wanted.filter(F.col("id").isNotNull()), ["id", "mark"])
+    nameless = texts.filter(F.col("id").isNull()).groupBy("mark").agg(F.first("text").alias("text"))
+    rest = nameless.join(wanted.filter(F.col("id").isNull()), "mark")
+    return named.select("node", "text").unionByName(rest.select("node", "text")).mapInArrow(hashed, "node binary, tokens array<long>")
+
+
+def coordinate(sig: str, at) -> Column:
     return F.substring(F.col(sig), at * 4 + 1, F.lit(4)) if not isinstance(at, int) else F.substring(sig, at * 4 + 1, 4)
 
 
@@ -138,14 +165,11 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return shared.astype(np.int64)
 
 
-def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
+def exact_links(group: pa.Table, percent: int) -> pa.Table | None:
     """Links (a, b) from the smallest to every other component that confirmed links on full shingle sets join to it."""
     rows = {}
-    for node, comp, text in zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), group.column("text"), strict=True):
-        if node not in rows:
-            own = shingle_set(text.as_py(), width)
-            if set_digest(own) == node:  # else another text under the same doc_id
-                rows[node] = (comp, own)
+    for node, comp, tokens in zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), group.column("tokens"), strict=True):
+        rows[node] = (comp, tokens.values.to_numpy().view(np.uint64))
     comps, sets = [c for c, _ in rows.values()], [s for _, s in rows.values()]
     sizes = np.array([len(s) for s in sets])
     if len(sets) < 2:
@@ -171,92 +195,148 @@ def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
+def weight(nodes: str, shingles: str) -> Column:
+    """Of nodes and their shingles, in groups."""
+    return F.col(nodes) / LIMIT + F.col(shingles) / SET_LIMIT
+
+
 def places(active: DataFrame) -> DataFrame:
-    """path, n (nodes), major (its largest component), others (nodes outside that) of places with two components or more."""
-    comps = together(active.select("path", "comp"), active.count()).groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"))
-    info = comps.groupBy("path").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
-    return info.filter("k > 1").select("path", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.m")).alias("others"))
+    """path, whole (its weight), major (its largest component), rest (weight of the nodes outside that) of places with two components or more."""
+    comps = active.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    top = F.max(F.struct("m", "comp", "s"))
+    info = comps.groupBy("path").agg(F.sum("m").alias("n"), F.sum("s").alias("s"), top.alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    info = info.select("path", "n", "s", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.m")).alias("m2"), (F.col("s") - F.col("top.s")).alias("s2"))
+    return info.select("path", "major", weight("n", "s").alias("whole"), weight("m2", "s2").alias("rest"))
 
 
-def work_groups(active: DataFrame, info: DataFrame, level: int) -> DataFrame:
-    """group, node, comp, n_shingles, sig: every place as groups of a bounded number of nodes (a pivot may come twice).
+def is_crowded() -> Column:
+    return (F.col("whole") > 1) & (F.col("rest") > 1)
 
-    A place of at most LIMIT nodes is one group. Where at most LIMIT nodes are outside the largest component, each of
-    them meets every chunk of that component. In any other place the chunks share PIVOTS nodes.
-    """
-    own = ["node", "comp", "n_shingles", "sig"]
-    chunks = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / LIMIT)).otherwise(F.lit(1)).cast("long")
-    rows = active.join(info, "path").withColumn("chunks", chunks)
-    closing = (F.col("n") > LIMIT) & (F.col("others") <= LIMIT)
-    everywhere = closing & (F.col("comp") != F.col("major"))
+
+OWN = ["node", "comp", "n_shingles", "sig"]
+
+
+def work_groups(active: DataFrame, info: DataFrame, seed: int) -> DataFrame:
+    """group, node, comp, n_shingles, sig: every place as groups of bounded weight (a pivot may come twice)."""
+    rows = active.join(info, "path").withColumn("chunks", F.ceil("whole").cast("long"))
+    everywhere = (F.col("whole") > 1) & (F.col("rest") <= 1) & (F.col("comp") != F.col("major"))
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    at = F.when(everywhere, every).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(level)), F.col("chunks"))))
-    groups = rows.select("path", *own, F.explode(at).alias("chunk"))
-    picks = [F.min_by(F.struct(*own), F.xxhash64("node", F.lit(level), F.lit(k))) for k in range(PIVOTS)]
+    at = F.when(everywhere, every).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("chunks"))))
+    groups = rows.select("path", *OWN, F.explode(at).alias("chunk"))
+    picks = [F.min_by(F.struct(*OWN), F.xxhash64("node", F.lit(seed), F.lit(k))) for k in range(PIVOTS)]
     pivots = (
-        rows.filter((F.col("n") > LIMIT) & ~closing).groupBy("path").agg(F.array_distinct(F.array(*picks)).alias("p"), F.first("chunks").alias("chunks"))
+        rows.filter(is_crowded()).groupBy("path").agg(F.array_distinct(F.array(*picks)).alias("p"), F.first("chunks").alias("chunks"))
         .select("path", F.explode("p").alias("p"), "chunks").select("path", "p.*", F.explode(every).alias("chunk"))
     )
-    return groups.unionByName(pivots).select(F.xxhash64("path", "chunk").alias("group"), *own)
+    return groups.unionByName(pivots).select(F.xxhash64("path", "chunk").alias("group"), *OWN)
+
+
+def block_groups(active: DataFrame, info: DataFrame) -> DataFrame:
+    """group, node, comp, n_shingles, sig: crowded places as groups of two blocks, one for each two blocks of a place."""
+    rows = active.join(info, "path").withColumn("blocks", F.ceil(2 * F.col("whole")).cast("long"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    pair = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select("path", *OWN, "own", other).select(pair.alias("group"), *OWN)
 
 
-def onward(crowd: DataFrame, level: int, share: float) -> DataFrame:
-    """The rows of the next level: places stay once, so that few left nodes can be finished, then branch by 1 / share tokens on average."""
-    if level == 0:
-        return crowd
-    token = [
-        F.xxhash64("path", F.lit(k), coordinate("sig", F.pmod(F.xxhash64("path", F.lit(level), F.lit(k)), F.lit(SKETCH)).cast("int")))
-        for k in range(2)
-    ]
-    second = F.pmod(F.xxhash64("path", F.lit("branch")), F.lit(1000)) < round(1000 * (1 / share - 1))
-    paths = F.when(second, F.array(*token)).otherwise(F.array(token[0]))
-    return crowd.select(F.explode(paths).alias("path"), "node", "comp", "n_shingles", "sig")
+def prefix_places(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """path, node: crowd (node, n_shingles) at the places of the rarest tokens of each node.
 
+    Of n tokens the n - ceil(n * percent / 100) + 1 rarest are a prefix such that sets at the threshold share a token of
+    both prefixes; the order (count, token) is the same for all, so tokens of a single node come first and need no place.
+    """
+    tokens = crowd.join(sets, "node").select("node", "n_shingles", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = tokens.join(counts, "token").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.collect_set(F.struct("n", "token")).alias("t"))
+    need = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    room = F.least(F.size("t") - need + 1, F.size("t")).cast("int")  # the prefix without the tokens of a single node
+    return shared.filter(room > 0).select("node", F.explode(F.slice(F.array_sort("t"), F.lit(1), room)).alias("p")).select(F.xxhash64("p.token").alias("path"), "node")
+
+
+class Merger:
+    """The component (its smallest node) of every node that is no longer alone."""
+
+    def __init__(self) -> None:
+        self.comps: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> None:
+        if not links.limit(1).count():
+            return
+        merged = component_map(links)
+        if self.comps is not None:
+            last = self.comps
+            roots = merged.select(F.col("c").alias("comp"), "root")
+            known = last.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            fresh = merged.select(F.col("c").alias("node"), F.col("root").alias("comp")).join(last.select("node"), "node", "left_anti")
+            self.comps = store(known.unionByName(fresh))
+            drop_stored(last)
+        else:
+            self.comps = store(merged.select(F.col("c").alias("node"), F.col("root").alias("comp")))
 
-def renamed(rows: DataFrame, merges: list[DataFrame]) -> DataFrame:
-    """rows with comp followed through the merges in order."""
-    for merged in merges:
-        rows = rows.join(merged.withColumnRenamed("c", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    return rows
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows (node and others) with comp."""
+        if self.comps is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     share = percent / 100
     features = store(set_features(docs, width))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "mark")).alias("row")
     nodes = store(
         features.filter(F.col("node").isNotNull())
-        .groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .groupBy("node").agg(first_row, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .select("node", "row.id", "row.mark", "n_shingles", "sig")
     )
     trees = trees_for(recall, share)
     first = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), coordinate("sig", t)).alias("path")) for t in range(trees)])
     placed = nodes.select("node", F.explode(first).alias("p")).select("node", "p.tree", "p.path")
-    crowded = placed.groupBy("path").count().filter("count > 1").select("path")
-    placed = store(placed.join(crowded, "path"))
-    needed = placed.select("node").distinct()
-    members = store(nodes.join(needed, "node"))
-    texts = store(
-        docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id", "node"), "id").select("node", "text")
-    )
-    merges: list[DataFrame] = []
+    placed = store(placed.join(placed.groupBy("path").count().filter("count > 1").select("path"), "path"))
+    members = store(nodes.join(placed.select("node").distinct(), "node"))
+    sets = store(whole_sets(docs, members.select("node", "id", "mark"), width))
+    merger = Merger()
+
+    def compare(groups: DataFrame) -> None:
+        maybe = store(by_group(groups, "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
+        links = store(by_group(maybe.join(sets, "node"), "group", lambda g: exact_links(g, percent), "a binary, b binary"))
+        merger.add(links)
+        drop_stored(maybe, links)
+
+    def settle(active: DataFrame, info: DataFrame, seed: int, last: bool) -> DataFrame:
+        """Compare places; of those that were crowded, close what one component nearly fills and return the others (with last: finish them too)."""
+        compare(work_groups(active, info, seed))
+        again = store(active.drop("comp").join(info.filter(is_crowded()).select("path"), "path"))
+        left = store(places(merger.named(again)))
+        if left.limit(1).count():
+            rows, closable = merger.named(again), left.filter(~is_crowded())
+            groups = work_groups(rows, closable, seed)
+            compare(groups.unionByName(block_groups(rows, left.filter(is_crowded()))) if last else groups)
+        open_ = store(again.join(left.filter(is_crowded()).select("path"), "path").select("node", "n_shingles").distinct())
+        drop_stored(again, left)
+        return open_
+
+    crowds = []
     for batch in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
-        rows = placed.filter(batch).select("path", "node").join(members.select("node", "n_shingles", "sig"), "node").withColumn("comp", F.col("node"))
-        active, level = store(renamed(rows, merges)), 0
-        while (info := store(places(active))).limit(1).count():
-            maybe = store(by_group(work_groups(active, info, level), "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
-            links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
-            drop_stored(maybe)
-            merged = [store(component_map(links))] if links.limit(1).count() else []
-            merges += merged
-            crowd = info.filter((F.col("n") > LIMIT) & (F.col("others") > LIMIT)).select("path")
-            last, active = active, store(renamed(onward(active.join(crowd, "path"), level, share), merged))
-            drop_stored(last)
-            drop_stored(info)
-            level += 1
-        drop_stored(active)
-    found = renamed(nodes.select("node", "id", F.col("node").alias("comp")), merges)
+        active = store(merger.named(placed.filter(batch).select("path", "node").join(members.select("node", "n_shingles", "sig"), "node")))
+        info = store(places(active))
+        crowds.append(settle(active, info, 0, last=False))
+        drop_stored(active, info)
+    drop_stored(placed)
+    crowd = crowds[0].unionByName(crowds[1]).distinct()
+    if crowd.limit(1).count():
+        chosen = store(prefix_places(crowd, sets, percent))
+        info = store(places(merger.named(chosen.join(members.select("node", "n_shingles"), "node"))))
+        active = store(merger.named(chosen.join(info.select("path"), "path").join(members.select("node", "n_shingles", "sig"), "node")))
+        crowds.append(settle(active, info, 1, last=True))
+        drop_stored(chosen, info, active)
+    drop_stored(sets, members, *crowds)
+    found = merger.named(nodes.select("node", "id"))
     smallest = found.groupBy("comp").agg(F.min("id").alias("component_id"))
     classes = store(found.join(smallest, "comp").select("node", "component_id"))
+    drop_stored(nodes)
     return (
         features.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -265,8 +345,9 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the documents that have a near copy of smaller doc_id in their component."""
-    gone = near_components(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    [name] = free_name(docs, "gone")
+    gone = near_components(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
