@@ -1,16 +1,16 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents with equal shingle sets form one node of the join. In each of several independent trees a node goes to the
-place of its minwise token under the hash function of that tree. Places of bounded weight (nodes and shingles) are
+place of its minwise token under the hash function of that tree. Places of bounded weight (nodes and bytes of text) are
 compared exhaustively: sketches (agreement of the minhashes) first, then exact intersections of the full sets of those
 with a possible partner. Heavier places are dealt into chunks of that weight that all share a few pivots and compared
 likewise; where all but a bounded rest of a place is one component already, the rest meets every chunk of it. The
 number of trees follows from the recall wanted of a pair at the threshold that is separated only by its first token.
 
 Nodes of places that stay crowded branch once more, by selected tokens instead of drawn ones: each goes to the places of
-its rarest shared tokens, so many that two sets at the threshold must have one of them in common (a quarter of the
-tokens; those that one node alone holds need no place). Branching therefore loses no pair. What is still crowded then
-is finished block against block, in groups of the same bounded weight, so there is no further level.
+so many of its tokens, very frequent ones last, that two sets at the threshold must have one of them in common (a
+quarter of the tokens). Branching therefore loses no pair. What is still crowded then is finished block against block,
+in groups of the same bounded weight, so there is no further level.
 
 The sketch keeps a pair whose minhashes agree in at least SKETCH_FLOOR of SKETCH places; a pair at similarity 0.75
 falls below with a probability of about 1e-7.
@@ -39,7 +39,8 @@ from .shingles import SHINGLE_WORDS, MinHasher, set_digest, shingle_set
 SKETCH = 64
 SKETCH_FLOOR = 28
 LIMIT = 512  # nodes of a group
-SET_LIMIT = 2_000_000  # shingles of a group
+BYTE_LIMIT = 8_000_000  # of the texts of a group
+HOT_TOKENS = 100_000  # the most frequent tokens that the order of a prefix knows as such; it is exact with any number
 PIVOTS = 4
 RECALL = 0.99999
 FIRST_TREES = 2
@@ -51,7 +52,7 @@ def trees_for(recall: float, threshold: float) -> int:
 
 
 def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, mark (a hash of the text), n_shingles, node (128-bit digest of the shingle set, null if empty) and sig (its minhashes)."""
+    """doc_id, mark (a hash of the text), size (its bytes), n_shingles, node (128-bit digest of the shingle set, null if empty) and sig (its minhashes)."""
     kind = docs.schema["doc_id"].dataType
     hasher = MinHasher(SKETCH)
 
@@ -63,34 +64,21 @@ def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 counts.append(len(own))
                 nodes.append(set_digest(own) if len(own) else None)
                 sigs.append(hasher(own).tobytes() if len(own) else None)
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "node", "sig"])
+            columns = [*(batch.column(c) for c in ("doc_id", "mark", "size")), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "n_shingles", "node", "sig"])
 
-    schema = f"doc_id {kind.simpleString()}, mark long, n_shingles long, node binary, sig binary"
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(features, schema)
+    schema = f"doc_id {kind.simpleString()}, mark long, size long, n_shingles long, node binary, sig binary"
+    size = F.octet_length("text").cast("long").alias("size")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), size, "text").mapInArrow(features, schema)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, tokens (ascending shingle hashes) of wanted (node, id, mark); repeated rows may give a node twice."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, nodes, sets = batch.slice(lo, 500), [], []
-                for node, text in zip(part.column("node").to_pylist(), part.column("text"), strict=True):
-                    own = shingle_set(text.as_py(), width)
-                    if set_digest(own) == node:  # else another text with the same mark
-                        nodes.append(node)
-                        sets.append(own.view(np.int64))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-                values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["node", "tokens"])
-
+def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of wanted (node, id, mark); repeated rows may give a node twice, equal marks another text."""
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
     named = texts.filter(F.col("id").isNotNull()).join(wanted.filter(F.col("id").isNotNull()), ["id", "mark"])
     nameless = texts.filter(F.col("id").isNull()).groupBy("mark").agg(F.first("text").alias("text"))
     rest = nameless.join(wanted.filter(F.col("id").isNull()), "mark")
-    return named.select("node", "text").unionByName(rest.select("node", "text")).mapInArrow(hashed, "node binary, tokens array<long>")
+    return named.select("node", "text").unionByName(rest.select("node", "text"))
 
 
 def coordinate(sig: str, at) -> Column:
@@ -165,11 +153,14 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return shared.astype(np.int64)
 
 
-def exact_links(group: pa.Table, percent: int) -> pa.Table | None:
+def exact_links(group: pa.Table, percent: int, width: int) -> pa.Table | None:
     """Links (a, b) from the smallest to every other component that confirmed links on full shingle sets join to it."""
     rows = {}
-    for node, comp, tokens in zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), group.column("tokens"), strict=True):
-        rows[node] = (comp, tokens.values.to_numpy().view(np.uint64))
+    for node, comp, text in zip(group.column("node").to_pylist(), group.column("comp").to_pylist(), group.column("text"), strict=True):
+        if node not in rows:
+            own = shingle_set(text.as_py(), width)
+            if set_digest(own) == node:
+                rows[node] = (comp, own)
     comps, sets = [c for c, _ in rows.values()], [s for _, s in rows.values()]
     sizes = np.array([len(s) for s in sets])
     if len(sets) < 2:
@@ -195,14 +186,14 @@ def exact_links(group: pa.Table, percent: int) -> pa.Table | None:
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
-def weight(nodes: str, shingles: str) -> Column:
-    """Of nodes and their shingles, in groups."""
-    return F.col(nodes) / LIMIT + F.col(shingles) / SET_LIMIT
+def weight(nodes: str, size: str) -> Column:
+    """Of nodes and their texts, in groups."""
+    return F.col(nodes) / LIMIT + F.col(size) / BYTE_LIMIT
 
 
 def places(active: DataFrame) -> DataFrame:
     """path, whole (its weight), major (its largest component), rest (weight of the nodes outside that) of places with two components or more."""
-    comps = active.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    comps = active.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
     top = F.max(F.struct("m", "comp", "s"))
     info = comps.groupBy("path").agg(F.sum("m").alias("n"), F.sum("s").alias("s"), top.alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     info = info.select("path", "n", "s", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.m")).alias("m2"), (F.col("s") - F.col("top.s")).alias("s2"))
@@ -213,11 +204,11 @@ def is_crowded() -> Column:
     return (F.col("whole") > 1) & (F.col("rest") > 1)
 
 
-OWN = ["node", "comp", "n_shingles", "sig"]
+OWN = ["node", "comp", "n_shingles", "size", "sig"]
 
 
 def work_groups(active: DataFrame, info: DataFrame, seed: int) -> DataFrame:
-    """group, node, comp, n_shingles, sig: every place as groups of bounded weight (a pivot may come twice)."""
+    """group and the columns OWN: every place as groups of bounded weight (a pivot may come twice)."""
     rows = active.join(info, "path").withColumn("chunks", F.ceil("whole").cast("long"))
     everywhere = (F.col("whole") > 1) & (F.col("rest") <= 1) & (F.col("comp") != F.col("major"))
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
@@ -232,7 +223,7 @@ def work_groups(active: DataFrame, info: DataFrame, seed: int) -> DataFrame:
 
 
 def block_groups(active: DataFrame, info: DataFrame) -> DataFrame:
-    """group, node, comp, n_shingles, sig: crowded places as groups of two blocks, one for each two blocks of a place."""
+    """group and the columns OWN: crowded places as groups of two blocks, one for each two blocks of a place."""
     rows = active.join(info, "path").withColumn("blocks", F.ceil(2 * F.col("whole")).cast("long"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -240,18 +231,48 @@ def block_groups(active: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select("path", *OWN, "own", other).select(pair.alias("group"), *OWN)
 
 
-def prefix_places(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """path, node: crowd (node, n_shingles) at the places of the rarest tokens of each node.
+def prefix_places(crowd: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """path, node: crowd (node) at the places of selected tokens of each node.
 
-    Of n tokens the n - ceil(n * percent / 100) + 1 rarest are a prefix such that sets at the threshold share a token of
-    both prefixes; the order (count, token) is the same for all, so tokens of a single node come first and need no place.
+    The first n - ceil(n * percent / 100) + 1 of n tokens in one order for all are a prefix such that two sets at the
+    threshold share a token of both prefixes. The order puts the most frequent tokens of the crowd last (at most
+    HOT_TOKENS of them are known to the tasks), so a passage that very many texts share leads to no place unless it is
+    most of a text.
     """
-    tokens = crowd.join(sets, "node").select("node", "n_shingles", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = tokens.join(counts, "token").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.collect_set(F.struct("n", "token")).alias("t"))
-    need = F.floor((F.col("n_shingles") * percent + 99) / 100)
-    room = F.least(F.size("t") - need + 1, F.size("t")).cast("int")  # the prefix without the tokens of a single node
-    return shared.filter(room > 0).select("node", F.explode(F.slice(F.array_sort("t"), F.lit(1), room)).alias("p")).select(F.xxhash64("p.token").alias("path"), "node")
+    rows = crowd.join(texts, "node").select("node", "text")
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            own = shingle_set(text.as_py(), width)
+            if set_digest(own) == node:
+                yield node, own
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                found = [own for _, own in sets(batch.slice(lo, 500))]
+                values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    counts = rows.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT)
+    frequent = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()  # bounded by HOT_TOKENS
+    known = np.array(sorted(r["token"] for r in frequent), np.int64)
+    rank = np.empty(len(known), np.int64)
+    rank[np.searchsorted(known, np.array([r["token"] for r in frequent], np.int64))] = np.arange(len(known), 0, -1)
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, paths = [], []
+            for node, own in sets(batch):
+                own = own.view(np.int64)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                late = np.where(known[at] == own, rank[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                some = own[np.lexsort((own, late))][: len(own) - -(-len(own) * percent // 100) + 1]
+                nodes += [node] * len(some)
+                paths.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *paths])), pa.array(nodes, pa.binary())], ["path", "node"])
+
+    return rows.mapInArrow(places_of, "path long, node binary").distinct()
 
 
 class Merger:
@@ -285,23 +306,24 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     """doc_id, n_shingles, component_id of every row of docs."""
     share = percent / 100
     features = store(set_features(docs, width))
-    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "mark")).alias("row")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "mark", "size")).alias("row")
     nodes = store(
         features.filter(F.col("node").isNotNull())
         .groupBy("node").agg(first_row, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-        .select("node", "row.id", "row.mark", "n_shingles", "sig")
+        .select("node", "row.id", "row.mark", "row.size", "n_shingles", "sig")
     )
     trees = trees_for(recall, share)
     first = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), coordinate("sig", t)).alias("path")) for t in range(trees)])
     placed = nodes.select("node", F.explode(first).alias("p")).select("node", "p.tree", "p.path")
     placed = store(placed.join(placed.groupBy("path").count().filter("count > 1").select("path"), "path"))
     members = store(nodes.join(placed.select("node").distinct(), "node"))
-    sets = store(whole_sets(docs, members.select("node", "id", "mark"), width))
+    texts = store(whole_texts(docs, members.select("node", "id", "mark")))
+    about = members.select("node", "n_shingles", "size", "sig")
     merger = Merger()
 
     def compare(groups: DataFrame) -> None:
         maybe = store(by_group(groups, "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
-        links = store(by_group(maybe.join(sets, "node"), "group", lambda g: exact_links(g, percent), "a binary, b binary"))
+        links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
         merger.add(links)
         drop_stored(maybe, links)
 
@@ -314,25 +336,25 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
             rows, closable = merger.named(again), left.filter(~is_crowded())
             groups = work_groups(rows, closable, seed)
             compare(groups.unionByName(block_groups(rows, left.filter(is_crowded()))) if last else groups)
-        open_ = store(again.join(left.filter(is_crowded()).select("path"), "path").select("node", "n_shingles").distinct())
+        open_ = store(again.join(left.filter(is_crowded()).select("path"), "path").select("node").distinct())
         drop_stored(again, left)
         return open_
 
     crowds = []
     for batch in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
-        active = store(merger.named(placed.filter(batch).select("path", "node").join(members.select("node", "n_shingles", "sig"), "node")))
+        active = store(merger.named(placed.filter(batch).select("path", "node").join(about, "node")))
         info = store(places(active))
         crowds.append(settle(active, info, 0, last=False))
         drop_stored(active, info)
     drop_stored(placed)
     crowd = crowds[0].unionByName(crowds[1]).distinct()
     if crowd.limit(1).count():
-        chosen = store(prefix_places(crowd, sets, percent))
-        info = store(places(merger.named(chosen.join(members.select("node", "n_shingles"), "node"))))
-        active = store(merger.named(chosen.join(info.select("path"), "path").join(members.select("node", "n_shingles", "sig"), "node")))
+        chosen = store(prefix_places(store(crowd), texts, percent, width))
+        info = store(places(merger.named(chosen.join(members.select("node", "size"), "node"))))
+        active = store(merger.named(chosen.join(info.select("path"), "path").join(about, "node")))
         crowds.append(settle(active, info, 1, last=True))
         drop_stored(chosen, info, active)
-    drop_stored(sets, members, *crowds)
+    drop_stored(texts, members, *crowds)
     found = merger.named(nodes.select("node", "id"))
     smallest = found.groupBy("comp").agg(F.min("id").alias("component_id"))
     classes = store(found.join(smallest, "comp").select("node", "component_id"))
