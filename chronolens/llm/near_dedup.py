@@ -7,13 +7,14 @@ with a possible partner. Heavier places are dealt into chunks of that weight tha
 likewise; where all but a bounded rest of a place is one component already, the rest meets every chunk of it. The
 number of trees follows from the recall wanted of a pair at the threshold that is separated only by its first token.
 
-Nodes of places that stay crowded branch once more, by selected tokens instead of drawn ones: each goes to the places of
-so many of its tokens, very frequent ones last, that two sets at the threshold must have one of them in common (a
-quarter of the tokens). Branching therefore loses no pair. What is still crowded then is finished block against block,
-in groups of the same bounded weight, so there is no further level.
+Nodes of places that stay crowded branch once more, by the minwise of their tokens that are not frequent among these
+nodes, so places stay small. Two sets at the threshold of which a share h is frequent still agree there in
+(threshold - h) / (1 - h) of the functions, and each node takes as many of these trees as its own share asks for; nodes
+with too large a share go to the places of a whole prefix of their tokens besides, which loses nothing. What is crowded
+even then is finished block against block, in groups of the same bounded weight, so there is no further level.
 
 The sketch keeps a pair whose minhashes agree in at least SKETCH_FLOOR of SKETCH places; a pair at similarity 0.75
-falls below with a probability of about 1e-7.
+falls below with a probability of 4e-7.
 
 Defined cases: texts that are null or hold no word have an empty set, are linked with nothing and form their own
 component; rows that share a doc_id have their own text's component, and ``keep_one`` drops the doc_id if one of them
@@ -34,21 +35,25 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, free_name, store, table
 from .components import component_map
-from .shingles import SHINGLE_WORDS, MinHasher, set_digest, shingle_set
+from .shingles import SHINGLE_WORDS, MinHasher, mixed, set_digest, shingle_set
 
 SKETCH = 64
-SKETCH_FLOOR = 28
+SKETCH_FLOOR = 30
 LIMIT = 512  # nodes of a group
 BYTE_LIMIT = 8_000_000  # of the texts of a group
-HOT_TOKENS = 100_000  # the most frequent tokens that the order of a prefix knows as such; it is exact with any number
+HOT_TOKENS = 100_000  # known to be frequent; recall does not depend on the number
+MOST_TREES = 64  # beyond the share of frequent tokens that asks for more, a prefix
 PIVOTS = 4
 RECALL = 0.99999
 FIRST_TREES = 2
 DENSE_CELLS, RANGE_MEMBERS = 4_000_000, 500_000
 
 
-def trees_for(recall: float, threshold: float) -> int:
-    return min(SKETCH, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+def trees_for(recall: float, threshold: float, most: int = SKETCH) -> int:
+    """Independent functions of which two sets at the threshold agree in one, with probability recall."""
+    if threshold >= 1:
+        return 1
+    return min(most, math.ceil(math.log(1 - recall) / math.log(1 - threshold))) if threshold > 0 else most
 
 
 def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -73,9 +78,10 @@ def set_features(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of wanted (node, id, mark); repeated rows may give a node twice, equal marks another text."""
+    """node, text of wanted (node, id, mark); the text is another one where two have one mark."""
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
     named = texts.filter(F.col("id").isNotNull()).join(wanted.filter(F.col("id").isNotNull()), ["id", "mark"])
+    named = named.groupBy("id", "mark", "node").agg(F.first("text").alias("text"))  # repeated rows once; no further exchange
     nameless = texts.filter(F.col("id").isNull()).groupBy("mark").agg(F.first("text").alias("text"))
     rest = nameless.join(wanted.filter(F.col("id").isNull()), "mark")
     return named.select("node", "text").unionByName(rest.select("node", "text"))
@@ -231,13 +237,11 @@ def block_groups(active: DataFrame, info: DataFrame) -> DataFrame:
     return rows.select("path", *OWN, "own", other).select(pair.alias("group"), *OWN)
 
 
-def prefix_places(crowd: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """path, node: crowd (node) at the places of selected tokens of each node.
+def selected_places(crowd: DataFrame, texts: DataFrame, percent: int, recall: float, width: int) -> DataFrame:
+    """path, node: crowd (node) at the places of selected tokens of each node; see above.
 
-    The first n - ceil(n * percent / 100) + 1 of n tokens in one order for all are a prefix such that two sets at the
-    threshold share a token of both prefixes. The order puts the most frequent tokens of the crowd last (at most
-    HOT_TOKENS of them are known to the tasks), so a passage that very many texts share leads to no place unless it is
-    most of a text.
+    Of n tokens in one order for all, the first n - ceil(n * percent / 100) + 1 are a prefix such that two sets at the
+    threshold share a token of both prefixes; frequent tokens come last in it.
     """
     rows = crowd.join(texts, "node").select("node", "text")
 
@@ -255,24 +259,29 @@ def prefix_places(crowd: DataFrame, texts: DataFrame, percent: int, width: int)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["token", "n"])
 
     counts = rows.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT)
-    frequent = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()  # bounded by HOT_TOKENS
-    known = np.array(sorted(r["token"] for r in frequent), np.int64)
-    rank = np.empty(len(known), np.int64)
-    rank[np.searchsorted(known, np.array([r["token"] for r in frequent], np.int64))] = np.arange(len(known), 0, -1)
+    frequent = [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()]  # at most HOT_TOKENS
+    known = np.sort(np.array(frequent, np.int64).view(np.uint64))
+    trees = np.array([trees_for(recall, (percent - h) / (100 - h), MOST_TREES) for h in range(percent)] + [MOST_TREES] * (101 - percent))
+    hasher = MinHasher(MOST_TREES, seed=2, bits=64)
+    salts = mixed(np.arange(1, MOST_TREES + 1, dtype=np.uint64))
 
     def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, paths = [], []
             for node, own in sets(batch):
-                own = own.view(np.int64)
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                late = np.where(known[at] == own, rank[at], 0) if len(known) else np.zeros(len(own), np.int64)
-                some = own[np.lexsort((own, late))][: len(own) - -(-len(own) * percent // 100) + 1]
-                nodes += [node] * len(some)
-                paths.append(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *paths])), pa.array(nodes, pa.binary())], ["path", "node"])
+                hot = np.isin(own, known, assume_unique=True)
+                count = int(trees[-(-100 * int(hot.sum()) // len(own))])
+                if not hot.all():
+                    paths.append(mixed(hasher(own[~hot], count) ^ salts[:count]))
+                    nodes += [node] * count
+                if count == MOST_TREES:
+                    prefix = own[np.lexsort((own, hot))][: len(own) - -(-len(own) * percent // 100) + 1]
+                    paths.append(prefix)
+                    nodes += [node] * len(prefix)
+            paths = np.concatenate([np.empty(0, np.uint64), *paths]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes, pa.binary())], ["path", "node"])
 
-    return rows.mapInArrow(places_of, "path long, node binary").distinct()
+    return rows.mapInArrow(places_of, "path long, node binary")
 
 
 class Merger:
@@ -349,7 +358,7 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     drop_stored(placed)
     crowd = crowds[0].unionByName(crowds[1]).distinct()
     if crowd.limit(1).count():
-        chosen = store(prefix_places(store(crowd), texts, percent, width))
+        chosen = store(selected_places(store(crowd), texts, percent, recall, width))
         info = store(places(merger.named(chosen.join(members.select("node", "size"), "node"))))
         active = store(merger.named(chosen.join(info.select("path"), "path").join(about, "node")))
         crowds.append(settle(active, info, 1, last=True))

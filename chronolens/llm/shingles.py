@@ -60,16 +60,18 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 
 class MinHasher:
-    """The `size` smallest values of independent hash functions over a set, 32 bits each."""
+    """The smallest values of `size` independent hash functions over a set, their upper 32 bits or all 64."""
 
-    def __init__(self, size: int, seed: int = 1):
+    def __init__(self, size: int, seed: int = 1, bits: int = 32):
         rng = np.random.default_rng(seed)
         self.a = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, size, dtype=np.uint64)
+        self.bits = bits
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        best = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
+    def __call__(self, hashes: np.ndarray, count: int | None = None) -> np.ndarray:
+        """Of the first `count` functions; the largest value where the set is empty."""
+        a, b = self.a[:count], self.b[:count]
+        best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
         for lo in range(0, len(hashes), 2048):
-            values = hashes[lo : lo + 2048, None] * self.a + self.b
-            best = np.minimum(best, values.min(axis=0))
-        return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            best = np.minimum(best, (hashes[lo : lo + 2048, None] * a + b).min(axis=0))
+        return best if self.bits == 64 else (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
