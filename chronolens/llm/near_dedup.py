@@ -39,7 +39,7 @@ from .shingles import SHINGLE_WORDS, MinHasher, mixed, set_digest, shingle_set
 
 SKETCH = 64
 SKETCH_FLOOR = 30
-LIMIT = 512  # nodes of a group
+LIMIT = 2048  # nodes of a group; comparing a node's sketch with so many costs less than further places for it
 BYTE_LIMIT = 8_000_000  # of the texts of a group
 HOT_TOKENS = 100_000  # known to be frequent; recall does not depend on the number
 MOST_TREES = 64  # beyond the share of frequent tokens that asks for more, a prefix
@@ -238,18 +238,18 @@ def block_groups(active: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def selected_places(crowd: DataFrame, texts: DataFrame, percent: int, recall: float, width: int) -> DataFrame:
-    """path, node: crowd (node) at the places of selected tokens of each node; see above.
+    """path, node, comp, size: crowd (node, comp, size) at the places of selected tokens of each node; see above.
 
     Of n tokens in one order for all, the first n - ceil(n * percent / 100) + 1 are a prefix such that two sets at the
     threshold share a token of both prefixes; frequent tokens come last in it.
     """
-    rows = crowd.join(texts, "node").select("node", "text")
+    rows = crowd.join(texts, "node").select("node", "comp", "size", "text")
 
-    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for k, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
             own = shingle_set(text.as_py(), width)
             if set_digest(own) == node:
-                yield node, own
+                yield k, own
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,21 +267,22 @@ def selected_places(crowd: DataFrame, texts: DataFrame, percent: int, recall: fl
 
     def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, paths = [], []
-            for node, own in sets(batch):
+            at, paths = [], []
+            for k, own in sets(batch):
                 hot = np.isin(own, known, assume_unique=True)
                 count = int(trees[-(-100 * int(hot.sum()) // len(own))])
                 if not hot.all():
                     paths.append(mixed(hasher(own[~hot], count) ^ salts[:count]))
-                    nodes += [node] * count
+                    at += [k] * count
                 if count == MOST_TREES:
                     prefix = own[np.lexsort((own, hot))][: len(own) - -(-len(own) * percent // 100) + 1]
                     paths.append(prefix)
-                    nodes += [node] * len(prefix)
+                    at += [k] * len(prefix)
             paths = np.concatenate([np.empty(0, np.uint64), *paths]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes, pa.binary())], ["path", "node"])
+            own = batch.select(["node", "comp", "size"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(paths), *own.columns], ["path", "node", "comp", "size"])
 
-    return rows.mapInArrow(places_of, "path long, node binary")
+    return rows.mapInArrow(places_of, "path long, node binary, comp binary, size long")
 
 
 class Merger:
@@ -345,7 +346,7 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
             rows, closable = merger.named(again), left.filter(~is_crowded())
             groups = work_groups(rows, closable, seed)
             compare(groups.unionByName(block_groups(rows, left.filter(is_crowded()))) if last else groups)
-        open_ = store(again.join(left.filter(is_crowded()).select("path"), "path").select("node").distinct())
+        open_ = store(again.join(left.filter(is_crowded()).select("path"), "path").select("node", "size").distinct())
         drop_stored(again, left)
         return open_
 
@@ -358,9 +359,9 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     drop_stored(placed)
     crowd = crowds[0].unionByName(crowds[1]).distinct()
     if crowd.limit(1).count():
-        chosen = store(selected_places(store(crowd), texts, percent, recall, width))
-        info = store(places(merger.named(chosen.join(members.select("node", "size"), "node"))))
-        active = store(merger.named(chosen.join(info.select("path"), "path").join(about, "node")))
+        chosen = store(selected_places(store(merger.named(crowd)), texts, percent, recall, width))
+        info = store(places(chosen))
+        active = store(chosen.join(info.select("path"), "path").join(about.drop("size"), "node"))
         crowds.append(settle(active, info, 1, last=True))
         drop_stored(chosen, info, active)
     drop_stored(texts, members, *crowds)
