@@ -243,7 +243,7 @@ def selected_places(crowd: DataFrame, texts: DataFrame, percent: int, recall: fl
     Of n tokens in one order for all, the first n - ceil(n * percent / 100) + 1 are a prefix such that two sets at the
     threshold share a token of both prefixes; frequent tokens come last in it.
     """
-    rows = crowd.join(texts, "node").select("node", "comp", "size", "text")
+    rows = store(crowd.join(texts, "node").select("node", "comp", "size", "text"))
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for k, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
@@ -282,7 +282,9 @@ def selected_places(crowd: DataFrame, texts: DataFrame, percent: int, recall: fl
             own = batch.select(["node", "comp", "size"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(paths), *own.columns], ["path", "node", "comp", "size"])
 
-    return rows.mapInArrow(places_of, "path long, node binary, comp binary, size long")
+    found = store(rows.mapInArrow(places_of, "path long, node binary, comp binary, size long"))
+    drop_stored(rows)
+    return found
 
 
 class Merger:
@@ -333,9 +335,11 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
 
     def compare(groups: DataFrame) -> None:
         maybe = store(by_group(groups, "group", lambda g: possible_partners(g, SKETCH_FLOOR, share), "group long, node binary, comp binary"))
-        links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
-        merger.add(links)
-        drop_stored(maybe, links)
+        if maybe.limit(1).count():
+            links = store(by_group(maybe.join(texts, "node"), "group", lambda g: exact_links(g, percent, width), "a binary, b binary"))
+            merger.add(links)
+            drop_stored(links)
+        drop_stored(maybe)
 
     def settle(active: DataFrame, info: DataFrame, seed: int, last: bool) -> DataFrame:
         """Compare places; of those that were crowded, close what one component nearly fills and return the others (with last: finish them too)."""
@@ -359,7 +363,7 @@ def near_components(docs: DataFrame, percent: int = 75, recall: float = RECALL,
     drop_stored(placed)
     crowd = crowds[0].unionByName(crowds[1]).distinct()
     if crowd.limit(1).count():
-        chosen = store(selected_places(store(merger.named(crowd)), texts, percent, recall, width))
+        chosen = selected_places(merger.named(crowd), texts, percent, recall, width)
         info = store(places(chosen))
         active = store(chosen.join(info.select("path"), "path").join(about.drop("size"), "node"))
         crowds.append(settle(active, info, 1, last=True))
