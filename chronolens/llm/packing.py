@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, store, table
+from .common import drop_stored, free_name, store, table
 
 CAPACITY = 2048
 GROUP_ROWS = 40_000
@@ -30,7 +30,7 @@ MAX_ROUNDS = 8
 CACHED_WORDS = 400_000
 
 # Within these characters lower case and normal form C act on single characters, so a word's ids do not depend on its
-# neighbours; texts with any other character go to the library whole.
+# neighbours; texts with any other character, or with the string of an added token, go to the library whole.
 _OTHER = re.compile(r"[^\t\n\r -~¡-ÿ]")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _encoders: dict[str, WordEncoder] = {}
@@ -43,7 +43,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))  # texts that go to the library whole
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -60,7 +61,7 @@ class WordEncoder:
                 start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        words = [None if self.whole.search(t) else _WORDS.findall(t.lower()) for t in texts]
         fresh = set().union(*(w for w in words if w)) - self.known.keys()
         if len(fresh) + len(self.known) > CACHED_WORDS:
             fresh |= set().union(*(w for w in words if w))
@@ -145,12 +146,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """pieces (length between 1 and capacity) plus sequence_id, offset and certified (its partition met its bound)."""
-    todo = store(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    """pieces (length between 1 and capacity) plus sequence_id, offset and certified (its partition met its bound); columns of these names are replaced."""
+    pieces = pieces.drop("sequence_id", "offset", "certified")
+    row, group, space = free_name(pieces, "row", "group", "space")
+    todo = store(pieces.withColumn(row, F.monotonically_increasing_id()))
     own = todo.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema)
     full = todo.filter(F.col("length") >= capacity).withColumns(
-        {"sequence_id": -1 - F.col("_row"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)}
+        {"sequence_id": -1 - F.col(row), "offset": F.lit(0).cast("long"), "certified": F.lit(True)}
     )
     done, todo, used = [full], todo.filter(F.col("length") < capacity), 0
     for turn in range(MAX_ROUNDS):
@@ -165,29 +168,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
             rows["sequence_id"] = (turn << 56) + (int(key[0]) << 28) + bins
             rows["offset"] = offsets
             rows["certified"] = len(fill) <= lower_bound(Counter(lengths.tolist()), capacity)
-            rows["_open"] = fill[bins] < capacity
+            rows[space] = fill[bins] < capacity
             return rows
 
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
+        dealt = todo.withColumn(group, F.pmod(F.xxhash64(row, F.lit(turn)), F.lit(groups)))
         result = store(
-            dealt.groupBy("_group").applyInPandas(
-                lambda key, rows: packed(key, rows).drop(columns="_group"),
-                f"{schema}, sequence_id long, offset long, certified boolean, _open boolean",
+            dealt.groupBy(group).applyInPandas(
+                lambda key, rows: packed(key, rows).drop(columns=group),
+                f"{schema}, sequence_id long, offset long, certified boolean, `{space}` boolean",
             )
         )
-        bins = result.filter(~F.col("certified") & F.col("_open")).agg(F.count_distinct("sequence_id")).first()[0]
+        bins = result.filter(~F.col("certified") & F.col(space)).agg(F.count_distinct("sequence_id")).first()[0]
         if groups == 1 or not bins or bins == used:
-            done.append(result.drop("_open"))
+            done.append(result.drop(space))
             break
-        again = ~F.col("certified") & F.col("_open")
-        done.append(result.filter(~again).drop("_open"))
+        again = ~F.col("certified") & F.col(space)
+        done.append(result.filter(~again).drop(space))
         todo, used = result.filter(again).select(own), bins
     else:
-        done.append(result.filter(again).drop("_open"))
+        done.append(result.filter(again).drop(space))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("_row")
+    return out.drop(row)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chronolens.llm import line_dedup, near_dedup, packing, passages, piece_bpe, secrets, sharding, toxicity
+from chronolens.llm import common, line_dedup, near_dedup, packing, passages, piece_bpe, secrets, sharding, toxicity
 
 from .helpers import brute_components, documents, shingles, words
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = [None, "", " ", "one", "İstanbul ﬁne ½ don't!!'s\u0085x", "a\n\n\nb\n\n\nc", "x" * 5000, "日本語 🙂 tab\tz", "▁▁ under  two", "same text", "same text"]
+ODD = [None, "", " ", "one", "İstanbul ﬁne ½ don't!!'s\u0085x", "a\n\n\nb\n\n\nc", "x" * 5000, "日本語 🙂 tab\tz", "▁▁ under  two", "same text", "same text", "x <|endoftext|> y", "<|startoftext|>a<|ENDOFTEXT|>"]
 
 
 def prose(rng, n):
@@ -35,6 +35,22 @@ def texts():
     return corpus()
 
 
+def test_sessions_of_several_machines_need_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: self
+        get = lambda self, key: None
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    stored = common.store(spark.range(5).toDF("n"))
+    assert stored.count() == 5 and common.free_name(stored, "N", "m") == ["N_", "m"]
+
+
 # sharding
 
 
@@ -193,11 +209,23 @@ def test_one_of_a_group_stays(spark, texts):
     assert kept.columns == documents(spark, texts).columns and near_dedup.near_components(documents(spark, ["x"]).limit(0)).count() == 0
     same = documents(spark, ["a b c d e f", "a b c d e f"], ids=[3, 3])
     assert near_dedup.keep_one(same).count() == 2
+    near = prose(random.Random(5), 60)
+    linked = documents(spark, [near, near + " end", "other words here"], ids=[None, 9, None])
+    assert sorted(str(r["component_id"]) for r in near_dedup.near_components(linked).collect()) == ["9", "9", "None"]
     nameless = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], ids=[None, 4, None])
     assert sorted(str(r["component_id"]) for r in near_dedup.near_components(nameless).collect()) == ["4", "4", "4"]
     assert sorted(str(r["doc_id"]) for r in near_dedup.keep_one(nameless).collect()) == ["4", "None", "None"]
 
 
+def test_heavy_texts_split_their_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BYTE_LIMIT", 4000)
+    rng = random.Random(15)
+    licence = prose(rng, 60)
+    texts = [f"{licence} {prose(rng, rng.choice((8, 30)))}" for _ in range(40)] + [mutated(rng, licence, 0.01) for _ in range(20)]
+    rows = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(documents(spark, texts)).collect()}
+    assert [rows[k] for k in range(len(texts))] == brute_components(texts)
+
+
 # passages
 
 
