@@ -7,7 +7,8 @@ above its own kth best, which cannot hide the global one, so its report stays ne
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, nor do rows without vec_id;
 rows of one vec_id count once (the smallest vector); shorter vectors count as padded with zeros; with fewer than k
-candidates all are returned; an empty table gives an empty result; other columns are not read.
+candidates all are returned; scores of 2**62 and beyond raise OverflowError; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,26 @@ ROWS_AT_ONCE = 2048
 NONE = -(2**62)
 
 
+def inner_products(queries: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    """Exact products of whole numbers. Beyond 2**53 they are formed modulo 2**64, which is exact for results below 2**62."""
+    widest = [float(np.abs(x.astype(float)).max(initial=0)) for x in (queries, vecs)]
+    near = queries.astype(float) @ vecs.astype(float).T
+    bound = widest[0] * widest[1] * max(1, queries.shape[1])
+    if bound < 2**53:
+        return near.astype(np.int64)
+    if np.abs(near).max(initial=0) + bound * queries.shape[1] * 2.0**-51 >= 2**62:
+        raise OverflowError("scores do not fit 62 bits")
+    return queries @ vecs.T
+
+
+def _counted(q: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n by (q, bin), in that order."""
+    order = np.lexsort((bins, q))
+    q, bins, n = q[order], bins[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (bins[1:] != bins[:-1])])) if len(q) else np.empty(0, np.int64)
+    return q[first], bins[first], np.add.reduceat(n, first) if len(q) else n
+
+
 def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate ids and the scores of all queries against them; a query's own row scores NONE."""
     dim = queries.shape[1]
@@ -35,11 +56,7 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndar
         for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(lo, ROWS_AT_ONCE)
             rows, vecs = part.column("vec_id").to_numpy(), matrix(part.column("v"), dim)
-            largest = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(vecs).max(initial=0))) * max(dim, 1)
-            if largest < 2**53:  # then sums of products are exact in double precision
-                scores = (queries.astype(float) @ vecs.astype(float).T).astype(np.int64)
-            else:
-                scores = queries @ vecs.T
+            scores = inner_products(queries, vecs)
             own, at = np.nonzero(ids[:, None] == rows[None, :])
             scores[own, at] = NONE
             yield rows, scores
@@ -50,7 +67,7 @@ def _histogram(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.full(len(ids), NONE, np.int64)
-        held, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         for _, scores in _scored(batches, ids, queries):
             if within:
                 keep = (scores // within[0] == within[1][:, None]) & (scores > NONE)
@@ -59,13 +76,12 @@ def _histogram(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
                     floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k] // width * width)
                 keep = (scores >= floor[:, None]) & (scores > NONE)
             q, at = np.nonzero(keep)
-            keys = (q.astype(np.int64) << 44) + (scores[q, at] // width + 2**43)
-            keys, n = np.unique(keys, return_counts=True)
-            held, inverse = np.unique(np.concatenate([held, keys]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(held)).astype(np.int64)
-        q, bins = held >> 44, (held & (2**44 - 1)) - 2**43
-        top = slice(None) if within else bins >= floor[q] // width
-        yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(bins[top]), pa.array(counts[top])], ["q", "bin", "n"])
+            own = q.astype(np.int64), scores[q, at] // width, np.ones(len(q), np.int64)
+            held = _counted(*(np.concatenate(pair) for pair in zip(held, own, strict=True)))
+            if not within:  # bins that can no longer hold the kth score
+                top = held[1] >= floor[held[0]] // width
+                held = tuple(x[top] for x in held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["q", "bin", "n"])
 
     return vectors.mapInArrow(count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 

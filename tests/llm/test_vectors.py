@@ -52,6 +52,22 @@ def test_exact_top_k_equals_brute_force(spark, monkeypatch):
     assert collected(topk.top_k(table(spark, rows))) == want
 
 
+@pytest.mark.parametrize("size", [1.0, 5e4, 1e5, 1e6, 3e8])
+def test_large_components_have_exact_scores(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [[float(x) for x in r] for r in rng.uniform(-size, size, (300, 12)).astype(np.float32)]
+    want = {}
+    exact = [[int(np.floor(64 * x)) for x in r] for r in rows]
+    for q in range(0, 300, 2):
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], exact[j], strict=True)), j) for j in range(300) if j != q)[:5]
+        want[q] = [(j, -s) for s, j in scores]
+    if size > 1e8:  # 64 * 3e8 squared, twelve times
+        with pytest.raises(Exception, match="62 bits"):
+            topk.top_k(table(spark, rows), k=5, query_step=2).collect()
+    else:
+        assert collected(topk.top_k(table(spark, rows), k=5, query_step=2)) == want
+
+
 def test_top_k_with_few_rows_repeats_and_nothing(spark):
     few = table(spark, [[1.0, 0.5], [0.5, 0.5], [0.25, -1.0]])
     assert [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(few.unionByName(few)).collect()] == [(1, 1, 64 * 32 + 32 * 32), (2, 2, 64 * 16 - 32 * 64)]
