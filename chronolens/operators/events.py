@@ -88,8 +88,8 @@ def cover_securities(facts: DataFrame) -> DataFrame:
 def choose_ticker(securities: DataFrame, filing: str = "accession_no", issuer: str = "cik") -> DataFrame:
     """filing, ticker: the issuer's first common-equity symbol, else its only tradeable one unless titled as something else."""
     own = securities.filter(F.col("entity_cik") == F.col(issuer)).withColumn("s", text.tradeable_symbol(F.col("symbol"))).filter("s IS NOT NULL")
-    common = text.names_common_equity(F.col("title"))
-    other = text.names_other_security(F.col("title"))
+    named = F.coalesce(text.title_class(F.col("title")), F.lit(""))
+    common, other = named == "common", named == "other"
     picked = own.groupBy(filing).agg(
         F.min_by("s", F.when(common, F.col("seq"))).alias("first_common"), F.count(F.lit(1)).alias("n"), F.min("s").alias("only"), F.bool_or(other).alias("other")
     )

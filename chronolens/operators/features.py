@@ -45,11 +45,13 @@ def holding_fraction(shares: Column, remaining: Column, purchase: Column) -> tup
 
 
 def insiders_so_far(events: DataFrame) -> Column:
-    """Distinct insiders that filed for the issuer on the day up to and with the event's own instant."""
+    """Distinct insiders that filed for the issuer on the day up to and with the event's own instant: a running count of first filings."""
     if "insider_name" not in events.columns:
         raise UnsupportedDomainError(f"no features are defined for rows with {sorted(events.columns)}")
-    so_far = Window.partitionBy("day", "cik").orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.size(F.collect_set("insider_name").over(so_far)).cast("double")
+    issuer_day = Window.partitionBy("day", "cik")
+    first = F.row_number().over(Window.partitionBy("day", "cik", "insider_name").orderBy("as_of")) == 1
+    news = first & F.col("insider_name").isNotNull()
+    return F.sum(news.cast("double")).over(issuer_day.orderBy("as_of").rangeBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def with_features(events: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def label_coverage(events: DataFrame, labels: DataFrame, exclusions: DataFrame,
     return own.join(e, key, "left_anti"), e.join(own, key, "left_anti").join(exclusions.select(key).distinct(), key, "left_anti")
 
 
-def with_outcomes(featured: DataFrame, labels: DataFrame, key: str = "accession_no") -> DataFrame:
-    """Inner join to the first label of a filing; outcome is whether its return is above zero."""
-    first = labels.groupBy(key).agg(F.min(F.struct("abnormal_return", "exit_session")).alias("_l"))
+def with_outcomes(featured: DataFrame, labels: DataFrame, key: str = "accession_no", position: str = "position") -> DataFrame:
+    """Inner join to the first label of a filing in stored order; outcome is whether its return is above zero."""
+    first = labels.groupBy(key).agg(F.min_by(F.struct("abnormal_return", "exit_session"), position).alias("_l"))
     return featured.join(first, key).select(*featured.columns, "_l.*").withColumn("outcome", (F.col("abnormal_return") > 0).cast("int"))

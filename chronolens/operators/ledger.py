@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .guards import none_left
-
 DETAIL_LIMIT = 2000
 SAMPLES = 3
 USAGE_JSON = (
@@ -36,12 +34,16 @@ def duplicates(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFram
 
 
 def model_usage(calls: DataFrame, column: str = "payload") -> DataFrame:
-    """One row a call and model, money read through text; a call without models must not exist."""
-    parsed = calls.withColumn("_u", F.from_json(column, USAGE_JSON, {"primitivesAsString": "false"}))
-    none_left(parsed.filter(F.coalesce(F.size("_u.modelUsage"), F.lit(0)) <= 0), "a call names no model")
-    rows = parsed.select(*calls.columns, F.explode("_u.modelUsage").alias("model", "m")).drop(column)
-    tokens = [F.coalesce(F.col(f"m.{n}"), F.lit(0)).alias(a) for n, a in (("inputTokens", "input"), ("outputTokens", "output"), ("cacheReadInputTokens", "cache_read"), ("cacheCreationInputTokens", "cache_write"))]
-    return rows.select(*[c for c in calls.columns if c != column], "model", *tokens, F.col("m.costUSD").try_cast("decimal(12,6)").alias("cost_usd"))
+    """One row a call and model, money read through text. A call without models, or an entry without a count or its cost, fails the job: it would meter as free."""
+    used = F.from_json(column, USAGE_JSON, {"primitivesAsString": "false"})["modelUsage"]
+    named = F.when(F.coalesce(F.size(used), F.lit(0)) > 0, used).otherwise(F.raise_error(F.lit("a call names no model")))
+    rows = calls.select(*[c for c in calls.columns if c != column], F.explode(named).alias("model", "m"))
+
+    def stated(field: str) -> Column:
+        return F.coalesce(F.col(f"m.{field}"), F.raise_error(F.lit(f"a model's usage states no {field}")))
+
+    tokens = [stated(n).alias(a) for n, a in (("inputTokens", "input"), ("outputTokens", "output"), ("cacheReadInputTokens", "cache_read"), ("cacheCreationInputTokens", "cache_write"))]
+    return rows.select(*[c for c in calls.columns if c != column], "model", *tokens, stated("costUSD").try_cast("decimal(12,6)").alias("cost_usd"))
 
 
 def spend_since(usage: DataFrame, since: Column, at: str = "at") -> DataFrame:
@@ -62,7 +64,7 @@ def with_detail(exclusions: DataFrame) -> DataFrame:
 
 def cost_of_forecasts(forecasts: DataFrame, usage: DataFrame, key: str = "issuer_day_hash") -> DataFrame:
     """Cost of the calls behind each group that has a forecast."""
-    return forecasts.select(key).distinct().join(usage, key).groupBy(key).agg(F.sum("cost_usd").alias("cost"))
+    return usage.groupBy(key).agg(F.sum("cost_usd").alias("cost")).join(forecasts.select(key), key, "left_semi")
 
 
 def sample_means(samples: DataFrame, key: list[str]) -> DataFrame:

@@ -30,19 +30,26 @@ def numbered(bars: DataFrame) -> DataFrame:
 def paired(bars: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Sessions that both a symbol and its benchmark have, numbered after pairing; benchmarks: symbol, benchmark."""
     other = bars.select(F.col("symbol").alias("benchmark"), "session", F.col("open").alias("benchmark_open"), F.col("close").alias("benchmark_close"))
-    return numbered(bars.join(F.broadcast(benchmarks), "symbol").join(other, ["benchmark", "session"]))
+    return numbered(bars.join(benchmarks, "symbol").join(other, ["benchmark", "session"]))
 
 
-def next_session(series: DataFrame, reach: int = 400) -> DataFrame:
-    """symbol, day, idx: for every day before some session (up to `reach` days before the first), the first session strictly after it."""
-    before = F.coalesce(F.lag("session").over(Window.partitionBy("symbol").orderBy("session")), F.date_sub("session", reach))
-    return series.withColumn("_from", before).select("symbol", "idx", F.explode(F.sequence("_from", F.date_sub("session", 1))).alias("day"))
+def next_session(rows: DataFrame, series: DataFrame, columns: list[str], key: str = "symbol", day: str = "day") -> DataFrame:
+    """rows (key, day) left joined to columns of the first session strictly after the day.
+
+    Each session owns the days since the one before it; days before a series begins count as the last one before that.
+    """
+    before = F.coalesce(F.lag("session").over(Window.partitionBy("symbol").orderBy("session")), F.date_sub("session", 1))
+    owned = series.withColumn("_from", before).select(F.col("symbol").alias(key), *columns, F.explode(F.sequence("_from", F.date_sub("session", 1))).alias("_day"))
+    start = series.groupBy(F.col("symbol").alias(key)).agg(F.date_sub(F.min("session"), 1).alias("_start"))
+    return rows.join(start, key, "left").withColumn("_day", F.greatest(day, "_start")).join(owned, [key, "_day"], "left").drop("_day", "_start")
 
 
-def last_closed(series: DataFrame, horizon: int = 400) -> DataFrame:
-    """symbol, day, idx: for every day, the position of the last session on or before it (at most `horizon` days back)."""
-    after = F.coalesce(F.lead("session").over(Window.partitionBy("symbol").orderBy("session")), F.date_add("session", horizon))
-    return series.withColumn("_to", F.date_sub(after, 1)).select("symbol", "idx", F.explode(F.sequence("session", "_to")).alias("day"))
+def last_closed(rows: DataFrame, series: DataFrame, columns: list[str], key: str = "symbol", day: str = "day") -> DataFrame:
+    """rows (key, day) left joined to columns of the last session on or before the day; days after a series ends count as its last."""
+    after = F.coalesce(F.lead("session").over(Window.partitionBy("symbol").orderBy("session")), F.date_add("session", 1))
+    owned = series.withColumn("_to", F.date_sub(after, 1)).select(F.col("symbol").alias(key), *columns, F.explode(F.sequence("session", "_to")).alias("_day"))
+    end = series.groupBy(F.col("symbol").alias(key)).agg(F.max("session").alias("_end"))
+    return rows.join(end, key, "left").withColumn("_day", F.least(day, "_end")).join(owned, [key, "_day"], "left").drop("_day", "_end")
 
 
 def valid_price(c: Column) -> Column:
@@ -62,19 +69,17 @@ def label_events(events: DataFrame, bars: DataFrame, benchmarks: DataFrame, hori
     Horizon H needs H + 1 paired sessions after the event; the exit is the close at position H from the entry. Raw
     series are counted before pairing, the issuer's first, so the reason names the side that is short.
     """
-    own, pair = numbered(bars), paired(bars, benchmarks)
-    left = own.groupBy("symbol").agg(F.max("idx").alias("last"))
-
-    def remaining(series: DataFrame, name: str, key: str = "symbol") -> DataFrame:
-        ends = series.groupBy("symbol").agg(F.max("idx").alias("last"))
-        return next_session(series).join(ends, "symbol").select(F.col("symbol").alias(key), F.col("day").alias(day), (F.col("last") - F.col("idx") + 1).alias(name))
-
-    rows = events.join(F.broadcast(benchmarks), "symbol", "left")
-    rows = rows.join(remaining(own, "issuer_sessions"), ["symbol", day], "left").join(remaining(own, "benchmark_sessions", "benchmark"), ["benchmark", day], "left")
-    start = next_session(pair).select("symbol", F.col("day").alias(day), F.col("idx").alias("entry_idx"))
-    entry = pair.select("symbol", F.col("idx").alias("entry_idx"), F.col("session").alias("entry_session"), F.col("open").alias("entry_price"), F.col("benchmark_open").alias("benchmark_entry"))
-    exit_ = pair.select("symbol", (F.col("idx") - horizon).alias("entry_idx"), F.col("session").alias("exit_session"), F.col("close").alias("exit_price"), F.col("benchmark_close").alias("benchmark_exit"))
-    rows = rows.join(start, ["symbol", day], "left").join(entry, ["symbol", "entry_idx"], "left").join(exit_, ["symbol", "entry_idx"], "left")
+    later = Window.partitionBy("symbol").orderBy("session")
+    left = F.count(F.lit(1)).over(later.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    own = bars.select("symbol", "session", left.alias("issuer_sessions"))
+    base = own.withColumnRenamed("issuer_sessions", "benchmark_sessions")
+    pair = paired(bars, benchmarks).withColumns({
+        "entry_session": F.col("session"), "entry_price": F.col("open"), "benchmark_entry": F.col("benchmark_open"),
+        "exit_session": F.lead("session", horizon).over(later), "exit_price": F.lead("close", horizon).over(later), "benchmark_exit": F.lead("benchmark_close", horizon).over(later),
+    })
+    rows = next_session(events.join(benchmarks, "symbol", "left"), own, ["issuer_sessions"], day=day)
+    rows = next_session(rows, base, ["benchmark_sessions"], key="benchmark", day=day)
+    rows = next_session(rows, pair, ["entry_session", "entry_price", "benchmark_entry", "exit_session", "exit_price", "benchmark_exit"], day=day)
     prices = ["entry_price", "exit_price", "benchmark_entry", "benchmark_exit"]
     sound = valid_price(F.col(prices[0]))
     for p in prices[1:]:
@@ -89,7 +94,7 @@ def label_events(events: DataFrame, bars: DataFrame, benchmarks: DataFrame, hori
     )
     rows = rows.withColumn("reason", reason)
     value = excess_return(*[F.col(p) for p in prices])
-    return rows.withColumn("abnormal_return", F.when(F.col("reason").isNull(), value)).drop("entry_idx", "issuer_sessions", "benchmark_sessions")
+    return rows.withColumn("abnormal_return", F.when(F.col("reason").isNull(), value)).drop("issuer_sessions", "benchmark_sessions")
 
 
 def session_statistics(bars: DataFrame, trailing: int = 21, volumes: int = 63, year: int = 252) -> DataFrame:
@@ -139,6 +144,18 @@ def usable_news(news: DataFrame, as_of: Column) -> DataFrame:
     return news.filter((F.col("created_at") < as_of) & (F.col("updated_at") <= as_of))
 
 
+def usable_counts(news: DataFrame, days: DataFrame) -> DataFrame:
+    """day, articles: how many articles (created_at, updated_at as days) are usable at the start of each of the days; days without any are left out.
+
+    An article counts from the day after its creation or, if later, the day of its last update on: a running count over days.
+    """
+    fresh = news.groupBy(F.greatest(F.date_add("created_at", 1), F.col("updated_at")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    marked = fresh.withColumn("asked", F.lit(False)).unionByName(days.select("day", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    by_day = marked.groupBy("day").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    return by_day.withColumn("articles", F.sum("n").over(so_far)).filter("asked AND articles > 0").select("day", "articles")
+
+
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType(), False), T.StructField("ts", T.TimestampType(), False),
     *[T.StructField(n, T.DecimalType(18, 6), False) for n in ("open", "high", "low", "close", "volume")],

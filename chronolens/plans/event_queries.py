@@ -21,8 +21,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as transaction rows with text cells, some of them spoilt in a fixed way."""
     li = read(spark, sf_dir, "lineitem")
     k = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 41
-    shares = F.when(k == 0, "1,000").when(k == 1, "").when(k == 2, "nan").otherwise(F.col("l_quantity").cast("long").cast("string"))
-    price = F.when(k == 3, "$5").when(k == 4, "  ").when(k == 5, "N/A").otherwise(F.col("l_suppkey").cast("string"))
+    shares = F.when(k == 0, "1,000").when(k == 1, "").when(k == 2, "nan").when(k == 6, "\t\u2028").when(k == 7, F.concat(F.lit("\n"), F.col("l_quantity").cast("long").cast("string"), F.lit("\u00a0\t"))).otherwise(F.col("l_quantity").cast("long").cast("string"))
+    price = F.when(k == 3, "$5").when(k == 4, "  ").when(k == 5, "N/A").when(k == 8, "\n\x85").otherwise(F.col("l_suppkey").cast("string"))
     return li.select(F.col("l_orderkey").alias("filing"), "l_linenumber", shares.alias("shares"), price.alias("price"))
 
 
@@ -77,7 +77,7 @@ _TITLES = (
     "Common Units representing limited partner interests", "Units, each consisting of one ordinary share", "6.5% Senior Notes due 2030",
     "Ordinary Shares", "Depositary Shares",
 )
-_SYMBOLS = ("abc", "BRK.B", "n/a", "NONE", "ZWST", "toolong", "X", "GOOD1")
+_SYMBOLS = ("abc", "BRK.B", "n/a", "NONE", "ZWST", "toolong", "X", "GOOD1", "\tq\n", "\u2003none\u2028", "\u00a0tab\x1f")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +90,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def security_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.col("title")
-    return _parts(spark, sf_dir).select("p_partkey", text.tradeable_symbol(F.col("symbol")).alias("symbol"), text.names_common_equity(title).alias("common"), text.names_other_security(title).alias("other"))
+    kind = text.title_class(F.col("title"))
+    return _parts(spark, sf_dir).select("p_partkey", text.tradeable_symbol(F.col("symbol")).alias("symbol"), F.coalesce(kind == "common", F.lit(False)).alias("common"), F.coalesce(kind == "other", F.lit(False)).alias("other"))
 
 
 def ticker_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,16 +166,23 @@ def usable_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     news = read(spark, sf_dir, "documents").select("doc_id", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30).cast("int")).alias("created_at"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30 + F.col("n_chars") % 4).cast("int")).alias("updated_at"))
     days = filings(spark, sf_dir).select("day").distinct()
-    joined = news.join(F.broadcast(days), F.col("created_at") < F.col("day"))  # one row a calendar day
-    return prices.usable_news(joined, F.col("day")).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("articles"))
+    return prices.usable_counts(news, days).select(F.col("day").cast("string").alias("day"), "articles")
+
+
+# Every white space of Unicode, for the other engine's trim().
+WHITE_SQL = "(" + " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + ")"
+
+
+def strip_sql(column: str) -> str:
+    return f"trim({column}, {WHITE_SQL})"
 
 
 _LI = """cells AS (SELECT l_orderkey AS filing, l_linenumber, (l_orderkey * 7 + l_linenumber) % 41 AS k, l_quantity, l_suppkey FROM lineitem),
-t AS (SELECT filing, l_linenumber, CASE k WHEN 0 THEN '1,000' WHEN 1 THEN '' WHEN 2 THEN 'nan' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS shares,
-  CASE k WHEN 3 THEN '$5' WHEN 4 THEN '  ' WHEN 5 THEN 'N/A' ELSE CAST(l_suppkey AS VARCHAR) END AS price FROM cells)"""
+t AS (SELECT filing, l_linenumber, CASE k WHEN 0 THEN '1,000' WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 6 THEN chr(9) || chr(8232) WHEN 7 THEN chr(10) || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || chr(160) || chr(9) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS shares,
+  CASE k WHEN 3 THEN '$5' WHEN 4 THEN '  ' WHEN 5 THEN 'N/A' WHEN 8 THEN chr(10) || chr(133) ELSE CAST(l_suppkey AS VARCHAR) END AS price FROM cells)"""
 _BLANK = "('', 'nan', 'none', 'null', '<na>', 'nat')"
-_REJECT = f"""{_LI}, j AS (SELECT filing, bool_or(lower(trim(shares)) IN {_BLANK} OR try_cast(shares AS DECIMAL(38, 18)) IS NULL
-  OR (lower(trim(price)) NOT IN {_BLANK} AND try_cast(trim(price) AS DECIMAL(38, 18)) IS NULL)) AS rejected FROM t GROUP BY filing)"""
+_REJECT = f"""{_LI}, j AS (SELECT filing, bool_or(lower({strip_sql('shares')}) IN {_BLANK} OR try_cast({strip_sql('shares')} AS DECIMAL(38, 18)) IS NULL
+  OR (lower({strip_sql('price')}) NOT IN {_BLANK} AND try_cast({strip_sql('price')} AS DECIMAL(38, 18)) IS NULL)) AS rejected FROM t GROUP BY filing)"""
 _SQL_ITEMS = "[" + ", ".join(f"'{i}'" for i in _ITEMS) + "]"
 
 
@@ -183,7 +190,7 @@ def _list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_PARTS = f"parts AS (SELECT p_partkey, p_partkey % 500 AS filing, {_list(_TITLES)}[p_size % 8 + 1] AS title, {_list(_SYMBOLS)}[p_partkey % 8 + 1] AS symbol FROM part)"
+_PARTS = f"parts AS (SELECT p_partkey, p_partkey % 500 AS filing, {_list(_TITLES)}[p_size % 8 + 1] AS title, {_list(_SYMBOLS)}[p_partkey % {len(_SYMBOLS)} + 1] AS symbol FROM part)"
 # The other engine has no look-behind: common units are taken out of the text before units are looked for.
 _HEAD = (
     "regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), "
@@ -191,7 +198,8 @@ _HEAD = (
 )
 _OTHER = f"regexp_matches(regexp_replace({_HEAD}, '(?i)common units?', '', 'g'), '(?i)\\bwarrants?\\b|\\brights?\\b|\\bpreferred\\b|\\bpreference\\b|\\bdepositary\\b|\\bnotes?\\b|\\bdebentures?\\b|\\bbonds?\\b|\\bunits?\\b')"
 _COMMON = f"(regexp_matches({_HEAD}, '(?i)\\bcommon\\b|\\bordinary shares?\\b|\\bcapital stock\\b') AND NOT {_OTHER})"
-_SYMBOL = "CASE WHEN regexp_full_match(upper(trim(symbol)), '[A-Z]{1,5}(\\.[A-Z]{1,2})?') AND upper(trim(symbol)) NOT IN ('NULL', 'NONE', 'NAN', 'NA', 'UNKNOWN', 'ERROR', 'TBD') THEN upper(trim(symbol)) END"
+_S = f"upper({strip_sql('symbol')})"
+_SYMBOL = f"CASE WHEN regexp_full_match({_S}, '[A-Z]{{1,5}}(\\.[A-Z]{{1,2}})?') AND {_S} NOT IN ('NULL', 'NONE', 'NAN', 'NA', 'UNKNOWN', 'ERROR', 'TBD') THEN {_S} END"
 _HOLIDAYS = ", ".join(f"DATE '{h}'" for h in calendar.HOLIDAYS)
 _CAL = f"""cal AS (SELECT CAST(d AS DATE) AS day, isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_HOLIDAYS}) AS trading FROM generate_series(DATE '2026-01-01', DATE '2027-12-31', INTERVAL 1 DAY) g(d)),
 sess AS (SELECT day, row_number() OVER (ORDER BY day) AS idx FROM cal WHERE trading)"""
@@ -215,7 +223,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "insider_screen": f"WITH {FILINGS} SELECT accession_no, cik, transaction_code, value_usd FROM filings WHERE NOT is_plan AND transaction_code IN ('P', 'S') AND value_usd >= 250",
-    "present_rows": f"WITH {_LI} SELECT count(*) AS rows, sum(l_linenumber)::BIGINT AS lines FROM t WHERE filing % 2 = 0 AND lower(trim(shares)) NOT IN {_BLANK}",
+    "present_rows": f"WITH {_LI} SELECT count(*) AS rows, sum(l_linenumber)::BIGINT AS lines FROM t WHERE filing % 2 = 0 AND lower({strip_sql('shares')}) NOT IN {_BLANK}",
     "rejected_filings": f"WITH {_REJECT} SELECT filing FROM j WHERE rejected",
     "reject_rate": f"WITH {_REJECT} SELECT count(*) FILTER (rejected) AS rejected, count(*) AS attempted, round(count(*) FILTER (rejected) / count(*)::DOUBLE, 9) AS rate, count(*) FILTER (rejected) / count(*)::DOUBLE > 0.05 AS broken FROM j",
     "filing_dedupe": "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1",

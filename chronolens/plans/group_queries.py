@@ -15,8 +15,8 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A figure for the issuer-days of all issuers but every eleventh."""
-    return breakdowns.issuer_sizes(filings(spark, sf_dir).filter("cik % 11 <> 0").select("day", "cik", F.col("value_usd").alias("size")))
+    """Every eleventh issuer states no figure."""
+    return breakdowns.issuer_sizes(filings(spark, sf_dir).select("day", "cik", F.when(F.col("cik") % 11 != 0, F.col("value_usd")).alias("size")))
 
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a call; models a and b, the latter for even events only."""
     payload = F.concat(
         F.lit('{"session_id":"x","total_cost_usd":"0.02","modelUsage":{"a":{"inputTokens":'), F.col("shares").cast("string"),
-        F.lit(',"outputTokens":5,"costUSD":"0.0125"}'), F.when(F.col("accession_no") % 2 == 0, ',"b":{"inputTokens":1,"cacheReadInputTokens":7,"costUSD":"0.001"}').otherwise(""), F.lit("}}"),
+        F.lit(',"outputTokens":5,"cacheReadInputTokens":0,"cacheCreationInputTokens":0,"costUSD":"0.0125"}'), F.when(F.col("accession_no") % 2 == 0, ',"b":{"inputTokens":1,"outputTokens":0,"cacheReadInputTokens":7,"cacheCreationInputTokens":0,"costUSD":"0.001"}').otherwise(""), F.lit("}}"),
     )
     return ledger.model_usage(filings(spark, sf_dir).select(F.col("accession_no").alias("run_id"), "as_of", payload.alias("payload")))
 
@@ -192,7 +192,7 @@ def sample_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filings(spark, sf_dir)
-    return ledger.duplicates(rows.filter("accession_no % 2 = 0").select("cik", "day"), rows.filter("accession_no % 7 = 3").select("cik", "day"), ["cik", "day"]).select("cik", F.col("day").cast("string").alias("day"))
+    return ledger.duplicates(rows.filter("accession_no % 2 = 0").select("cik", "day"), rows.filter("accession_no % 2 = 1").select("cik", "day"), ["cik", "day"]).select("cik", F.col("day").cast("string").alias("day"))
 
 
 def append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def window_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings(spark, sf_dir).groupBy("transaction_code").agg(F.max_by("value_usd", F.struct("as_of", "accession_no")).alias("last_value"))
 
 
-_SIZES = """sizes AS (SELECT day, cik, max(value_usd) AS size FROM filings WHERE cik % 11 <> 0 GROUP BY ALL),
+_SIZES = """sizes AS (SELECT * FROM (SELECT day, cik, max(CASE WHEN cik % 11 <> 0 THEN value_usd END) AS size FROM filings GROUP BY ALL) WHERE size IS NOT NULL),
 buckets AS (SELECT *, ntile(3) OVER (PARTITION BY day ORDER BY size, cik) - 1 AS bucket FROM sizes)"""
 _BUCKETED = f"{FILINGS}, {SCORES}, {_SIZES}, g AS (SELECT s.*, b.size, b.bucket, count(*) OVER (PARTITION BY s.day, b.bucket) AS gn FROM scores s LEFT JOIN buckets b USING (day, cik))"
 _HIST = """s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '5' WHEN o_orderkey % 9 = 1 THEN '4/A' ELSE '4' END AS form, CAST(o_orderdate AS DATE) AS filed, o_custkey % 100 AS issuer, o_custkey % 30 AS owner,
@@ -226,7 +226,7 @@ _HIST = """s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '5' W
   CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 51 = 0 THEN CAST(o_orderdate AS DATE) + 3 ELSE CAST(o_orderdate AS DATE) - CAST(o_orderkey % 4 AS INTEGER) END AS traded FROM orders),
 t AS (SELECT * FROM s WHERE form IN ('4', '4/A') AND code IN ('P', 'S')),
 h AS (SELECT DISTINCT owner, issuer, year(traded) AS year, month(traded) AS month, filed FROM t WHERE traded <= filed)"""
-_PAIRSQL = f"""WITH {_HIST}, p AS (SELECT o_orderkey AS accession_no, o_custkey % 30 AS owner, o_custkey % 100 AS issuer, CAST(o_orderdate AS DATE) AS accepted FROM orders WHERE year(o_orderdate) >= 1999),
+_PAIRSQL = f"""WITH {_HIST}, p AS (SELECT o_orderkey AS accession_no, o_custkey % 30 AS owner, o_custkey % 100 AS issuer, CAST(o_orderdate AS DATE) AS accepted FROM orders),
 m AS (SELECT p.accession_no, h.month, count(DISTINCT h.year) AS years, list(DISTINCT h.year) AS own FROM p JOIN h ON h.owner = p.owner AND h.issuer = p.issuer AND h.filed < p.accepted AND h.year BETWEEN year(p.accepted) - 3 AND year(p.accepted) - 1 GROUP BY ALL),
 y AS (SELECT accession_no, max(years) AS best, len(list_distinct(flatten(list(own)))) AS covered FROM m GROUP BY accession_no),
 c AS (SELECT p.*, CASE WHEN coalesce(covered, 0) < 3 THEN 'unclassified' WHEN best = 3 THEN 'routine' ELSE 'opportunistic' END AS class FROM p LEFT JOIN y USING (accession_no))"""
@@ -276,7 +276,7 @@ SELECT CAST(ib.day AS VARCHAR) AS day, ib.n, round(ib.ic, 9) AS base_ic, round(i
   regexp_replace(regexp_replace(CAST(CAST(n_chars / 4.0::DOUBLE AS DECIMAL(18, 2)) AS VARCHAR), '(\.\d*?)0+$', '\1'), '\.$', '') || '","session":"2024-01-05","ticker":null}' AS canonical FROM documents)
 SELECT doc_id, canonical, sha256(canonical) AS content_hash FROM c""",
     "issuer_day_hash": "WITH h AS (SELECT DISTINCT conv_id, sha256(text) AS h FROM conversations) SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS group_hash, count(*) AS packets FROM h GROUP BY conv_id",
-    "prompt_render": r"""SELECT conv_id, string_agg(turn || ' | ' || role || ' | ' || replace(trim(regexp_replace(nfc_normalize(left(text, 80)), '\s+', ' ', 'g')), '|', '/'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""",
+    "prompt_render": r"""SELECT conv_id, string_agg(turn || ' | ' || role || ' | ' || replace(trim(regexp_replace(nfc_normalize(text), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')), '|', '/'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""",
     "issuer_day_groups": f"""WITH {FILINGS}, l AS (SELECT *, (as_of AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM filings)
 SELECT cik, CAST(CAST(local AS DATE) AS VARCHAR) AS day, CAST(local AS TIME) < TIME '09:30:00' AS before_open, count(*) AS events, arg_min(accession_no, (as_of, accession_no)) AS first_event FROM l GROUP BY ALL""",
     "usage_by_model": f"{_USAGE} SELECT model, count(*) AS calls, sum(input)::BIGINT AS input, sum(cache_read)::BIGINT AS cache_read, round(sum(cost), 6) AS cost FROM u GROUP BY model",
@@ -286,7 +286,7 @@ SELECT cik, CAST(CAST(local AS DATE) AS VARCHAR) AS day, CAST(local AS TIME) < T
     "cost_join": f"{_USAGE} SELECT run_id % 500 AS issuer_day_hash, round(sum(cost), 6) AS cost FROM u WHERE run_id % 500 IN (SELECT accession_no % 500 FROM filings WHERE accession_no % 3 = 0) GROUP BY 1",
     "sample_means": f"WITH {FILINGS}, s AS (SELECT accession_no // 3 AS g, forecast * 1.01::DOUBLE AS p, {_status('1.01::DOUBLE', 'false')} AS status FROM filings) SELECT g AS \"group\", round(avg(p), 9) AS forecast FROM s WHERE status = 'ok' GROUP BY g HAVING count(*) = 3",
     "sample_statuses": f"WITH {FILINGS} SELECT {_status('1.1::DOUBLE', 'accession_no % 23 = 0')} AS status, count(*) AS n FROM filings GROUP BY 1",
-    "unique_guard": f"""WITH {FILINGS}, e AS (SELECT cik, day FROM filings WHERE accession_no % 2 = 0), r AS (SELECT cik, day FROM filings WHERE accession_no % 7 = 3)
+    "unique_guard": f"""WITH {FILINGS}, e AS (SELECT cik, day FROM filings WHERE accession_no % 2 = 0), r AS (SELECT cik, day FROM filings WHERE accession_no % 2 = 1)
 SELECT cik, CAST(day AS VARCHAR) AS day FROM (SELECT cik, day FROM r GROUP BY ALL HAVING count(*) > 1 UNION SELECT r.cik, r.day FROM r SEMI JOIN e USING (cik, day))""",
     "append_ledger": "SELECT user_id AS cik, count(*) AS n FROM events GROUP BY 1",
     "group_states": f"""WITH {FILINGS}, m AS (SELECT cik, (day < DATE '2024-01-10' OR cik % 10 = 0) AND cik % 10 <> 1 AS known FROM filings), g AS (SELECT cik, CASE WHEN bool_and(known) THEN 'done' WHEN bool_or(known) THEN 'changed' ELSE 'new' END AS state FROM m GROUP BY cik)

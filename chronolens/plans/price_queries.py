@@ -30,15 +30,13 @@ def closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions closed at each filing (21:00 UTC in January), over the last ten days."""
     series = prices.numbered(bars(spark, sf_dir))
     rows = _events(spark, sf_dir).withColumn("day", F.when(F.date_format("as_of", "HH:mm:ss") >= "21:00:00", F.col("day")).otherwise(F.date_sub("day", 1)))
-    last = rows.join(prices.last_closed(series), ["symbol", "day"])
-    first = series.groupBy("symbol").agg(F.min("session").alias("first"))
-    return last.join(F.broadcast(first), "symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("events"), F.sum("idx").cast("long").alias("bars"))
+    last = prices.last_closed(rows, series, ["idx"]).filter("idx IS NOT NULL")
+    return last.groupBy("symbol").agg(F.count(F.lit(1)).alias("events"), F.sum("idx").cast("long").alias("bars"))
 
 
 def entry_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = prices.numbered(bars(spark, sf_dir))
-    own = _events(spark, sf_dir).join(prices.next_session(series), ["symbol", "day"])
-    entry = own.join(series.select("symbol", "idx", "session", "open"), ["symbol", "idx"])
+    entry = prices.next_session(_events(spark, sf_dir), series, ["session", "open"]).filter("session IS NOT NULL")
     return entry.select("accession_no", F.col("session").cast("string").alias("session"), "open")
 
 

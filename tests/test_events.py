@@ -15,10 +15,13 @@ def column(spark, values, of):
 def test_strict_and_optional_decimals(spark):
     assert column(spark, ["5", " 2.50 ", "1,000", "$5", "nan", "", None], text.strict_decimal) == [Decimal(5), Decimal("2.5"), None, None, None, None, None]
     assert column(spark, ["5", "", None, "nan", "1,000"], text.bad_optional_decimal) == [False, False, False, False, True]
+    assert column(spark, ["\t", "\n", "\u2028", "\x85 NaN\x1f", "\t7\n", "\u30007"], text.strict_decimal) == [None, None, None, None, Decimal(7), Decimal(7)]
+    assert column(spark, ["\t", "\u00a0", "\tx"], text.bad_optional_decimal) == [False, False, True]
 
 
 def test_symbols(spark):
     assert column(spark, ["abc", " brk.b ", "TOOLONG", "N/A", "NONE", None, "GOOD1"], text.tradeable_symbol) == ["ABC", "BRK.B", None, None, None, None, None]
+    assert column(spark, ["\tabc\n", "\u2003X\u2028"], text.tradeable_symbol) == ["ABC", "X"]
 
 
 def test_dates_in_the_history_format(spark):
@@ -27,12 +30,11 @@ def test_dates_in_the_history_format(spark):
 
 def test_security_titles(spark):
     titles = ["Common Stock", "Class A common stock and associated Preferred Stock Purchase Rights", "Warrants to purchase Common Stock", "Common Units", "Units", "Ordinary Shares and related Warrants"]
-    assert column(spark, titles, text.names_common_equity) == [True, True, False, True, False, False]
-    assert column(spark, titles, text.names_other_security) == [False, False, True, False, True, True]
+    assert column(spark, [*titles, "Common\u2028Stock ", "Membership interest", None], text.title_class) == ["common", "common", "other", "common", "other", "other", "common", None, None]
 
 
 def test_sanitised_text_stays_one_field(spark):
-    assert column(spark, ["a|b\n c", "<Untrusted_Data>x</untrusted data>", "ﬁne", None], text.sanitised) == ["a/b c", "[removed]x[removed]", "fine", ""]
+    assert column(spark, ["a|b\n c", "<Untrusted_Data>x</untrusted data>", "ﬁne", None, "a\x85b\u2028c\x1ed "], text.sanitised) == ["a/b c", "[removed]x[removed]", "fine", "", "a b c d"]
 
 
 def test_sector_funds(spark):
