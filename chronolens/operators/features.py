@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # The feature order of the model, and the words of a title that name a role.
 FEATURES = (
     "is_purchase", "log_value_usd", "fraction_of_holding", "reports_holding", "is_officer", "is_director", "is_ten_percent_owner",
@@ -27,7 +29,7 @@ def _names_any(title: Column, words: tuple[str, ...]) -> Column:
 
 
 def role_flags(position: Column) -> dict[str, Column]:
-    title = F.lower(F.trim(position))
+    title = F.lower(text.stripped(position))
     return {"is_officer": _names_any(title, OFFICER), "is_director": _names_any(title, DIRECTOR), "is_ten_percent_owner": _names_any(title, TEN_PERCENT)}
 
 
@@ -56,7 +58,7 @@ def insiders_so_far(events: DataFrame) -> Column:
 
 def with_features(events: DataFrame) -> DataFrame:
     """events with the eight features; compute before joining outcomes, so that none depends on what resolved."""
-    purchase = F.upper(F.trim("transaction_code")) == "P"
+    purchase = F.upper(text.stripped(F.col("transaction_code"))) == "P"
     fraction, known = holding_fraction(F.col("shares"), F.col("remaining_shares"), purchase)
     return events.withColumns({
         "is_purchase": purchase.cast("double"),

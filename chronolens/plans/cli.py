@@ -1,10 +1,22 @@
-"""Command line: version, queries, run, report."""
+"""Command line over captured files and a store; every command is a thin call of a plan."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import os
+import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import breakdowns, calendar
+from ..operators.guards import GuardError
+from ..sources import readers, schemas
+from ..sources.store import Store
+from . import catalog, pipeline, report
+from .backfill import WindowsStillOpenError, backfill, resolve_domains
+from .settings import SettingsError, load_settings
 
 VERSION = "0.1.0"
 
@@ -15,8 +27,6 @@ def session(name: str = "chronolens") -> SparkSession:
 
 def write_report(spark: SparkSession, tables: str, out: str) -> None:
     """Walk-forward report and figure over the tables; both are rendered before either file is written."""
-    from . import catalog, report
-
     run = {n: catalog.QUERIES[n] for n in ("evaluation", "calibration_bins", "coefficients", "daily_ic", "ic_by_size", "group_accounting", "ic_by_type", "type_accounting")}
     rows = {n: [r.asDict() for r in q(spark, tables).collect()] for n, q in run.items()}
     last = max(r["block"] for r in rows["coefficients"])
@@ -32,29 +42,101 @@ def write_report(spark: SparkSession, tables: str, out: str) -> None:
             file.write(content)
 
 
+def ingest(args: argparse.Namespace) -> None:
+    spark = session()
+    store = Store(spark, args.store)
+    print(pipeline.ingest_day(store, readers.form4_filings(spark, args.filings.format(day=args.day)), args.day))
+    if args.reports:
+        found = readers.current_reports(spark, args.reports.format(day=args.day)), readers.cover_facts(spark, args.facts.format(day=args.day))
+        print(pipeline.ingest_reports(store, *found, args.day))
+
+
+def resolve(args: argparse.Namespace) -> None:
+    spark = session()
+    store = Store(spark, args.store)
+    domains = [d for d in schemas.HORIZONS if store.exists(d, args.day)]
+    bars, issuers = spark.read.parquet(args.bars), spark.read.parquet(args.issuers)
+    resolve_domains(args.day, domains, lambda day, domain: print(domain, pipeline.resolve_day(store, domain, day, bars, issuers, dt.date.fromisoformat(args.today))))
+
+
+def build_packets(args: argparse.Namespace) -> None:
+    spark = session()
+    store = Store(spark, args.store)
+    built = pipeline.build_packets(store, store.read("insider", args.day, schemas.INSIDER_EVENT), spark.read.parquet(args.bars), args.day)
+    print({"packets": built.count(), "excluded": store.read("insider", args.day, schemas.EXCLUSION, "packet-exclusions").count()})
+
+
+def run_backfill(args: argparse.Namespace) -> None:
+    """Every nth trading day of the range that is not complete yet."""
+    spark = session()
+    days = [r["day"].isoformat() for r in calendar.sampled_days(calendar.trading_calendar(spark, args.first, args.last), args.every).orderBy("day").collect()]
+    store = Store(spark, args.store)
+    done = {r["day"].isoformat() for r in store.complete(["insider"], packets=args.packets).filter("complete").collect()}
+
+    def one(day: str) -> None:
+        own = argparse.Namespace(**{**vars(args), "day": day})
+        if not store.exists("insider", day):
+            ingest(own)
+        resolve(own)
+        if args.packets:
+            build_packets(own)
+
+    print(backfill(days, done, one))
+
+
+def agent_compare(args: argparse.Namespace) -> None:
+    spark = session()
+    days, accounts = breakdowns.compare_arms(spark.read.parquet(args.base), spark.read.parquet(args.other), args.first, args.last)
+    summary = days.agg(F.count(F.lit(1)).alias("days"), *[F.round(F.avg(c), 6).alias(c) for c in ("base_ic", "other_ic", "difference")])
+    print({**accounts.first().asDict(), **summary.first().asDict()})
+
+
+def check(args: argparse.Namespace) -> None:
+    found = load_settings(os.environ)
+    store = Store(session(), found.store_root)
+    print({"store": found.store_root, "days": store.manifest().select("day").distinct().count(), "spend ceiling": str(found.daily_spend_ceiling)})
+
+
+def ledger_up(args: argparse.Namespace) -> None:
+    """Lay down empty ledger tables where there are none; existing rows stay."""
+    spark = session()
+    for name, schema in (("predictions", schemas.PREDICTION), ("calls", schemas.LLM_CALL), ("exclusions", schemas.AGENT_EXCLUSION)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{args.ledger}/{name}")
+    print({"ledger": args.ledger})
+
+
+STORE, DAY, BARS = ("--store", {"required": True}), ("day", {}), ("--bars", {"required": True})
+SOURCES = [("--filings", {"required": True, "help": "path of captured filings; {day} stands for the day"}), ("--reports", {}), ("--facts", {})]
+LABELS = [BARS, ("--issuers", {"required": True}), ("--today", {"required": True})]
+COMMANDS = {
+    "ingest": (ingest, [DAY, STORE, *SOURCES]),
+    "resolve": (resolve, [DAY, STORE, *LABELS]),
+    "build-packets": (build_packets, [DAY, STORE, BARS]),
+    "backfill": (run_backfill, [("first", {}), ("last", {}), STORE, *SOURCES, *LABELS, ("--every", {"type": int, "default": 1}), ("--packets", {"action": "store_true"})]),
+    "agent-compare": (agent_compare, [("base", {}), ("other", {}), ("first", {}), ("last", {})]),
+    "check": (check, []),
+    "ledger-up": (ledger_up, [("ledger", {})]),
+    "report": (lambda args: write_report(session(), args.tables, args.out), [("tables", {}), ("out", {})]),
+    "run": (lambda args: catalog.QUERIES[args.query](session(), args.tables).show(50, truncate=False), [("query", {}), ("tables", {})]),
+    "queries": (lambda args: print("\n".join(sorted(catalog.QUERIES))), []),
+    "version": (lambda args: print(VERSION), []),
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="chronolens")
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("version")
-    commands.add_parser("queries")
-    one = commands.add_parser("run")
-    one.add_argument("query")
-    one.add_argument("tables")
-    rep = commands.add_parser("report")
-    rep.add_argument("tables")
-    rep.add_argument("out")
+    for name, (action, arguments) in COMMANDS.items():
+        one = commands.add_parser(name)
+        one.set_defaults(action=action)
+        for flag, options in arguments:
+            one.add_argument(flag, **options)
     args = parser.parse_args(argv)
-    if args.command == "version":
-        print(VERSION)
-        return 0
-    from . import catalog
-
-    if args.command == "queries":
-        print("\n".join(sorted(catalog.QUERIES)))
-    elif args.command == "run":
-        catalog.QUERIES[args.query](session(), args.tables).show(50, truncate=False)
-    else:
-        write_report(session(), args.tables, args.out)
+    try:
+        args.action(args)
+    except (SettingsError, GuardError, WindowsStillOpenError, FileNotFoundError) as error:
+        print(error, file=sys.stderr)
+        return 1
     return 0
 
 

@@ -49,6 +49,15 @@ def labelled_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "accession_no", "left_semi")
 
 
+def first_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first label of two: what its quality says, then the opposite; odd documents have them the other way round."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("accession_no"))
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("accession_no"), (F.col("quality") - 0.5).alias("r"), F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    told = F.when((F.col("position") + F.col("accession_no")) % 2 == 0, F.col("r")).otherwise(-F.col("r"))
+    labels = rows.select("accession_no", "position", told.alias("abnormal_return"), F.lit("2026-06-09").alias("exit_session"))
+    return features.with_outcomes(docs, labels).select("accession_no", F.col("abnormal_return").cast("double").alias("abnormal_return"), "outcome")
+
+
 def issuer_day_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = walkforward.training_rows(filings(spark, sf_dir), walkforward.walk_blocks(filings(spark, sf_dir)))
     return rows.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("weight"), 6).alias("issuer_days"))
@@ -105,7 +114,7 @@ _OWN = "own AS (SELECT doc_id + CASE WHEN doc_id % 17 = 0 THEN 10000000 ELSE 0 E
 QUERIES = {
     f.__name__: f
     for f in (
-        role_flags, holding_fraction, event_features, clustered_insiders, stray_labels, label_coverage, labelled_only, issuer_day_weights, walk_blocks, fold_training_set,
+        role_flags, holding_fraction, event_features, clustered_insiders, stray_labels, label_coverage, labelled_only, first_outcomes, issuer_day_weights, walk_blocks, fold_training_set,
         base_rates, walk_forward_forecasts, coefficients, evaluation,
     )
 }
@@ -127,6 +136,8 @@ SELECT accession_no, CAST(CAST(buy AS INTEGER) AS DOUBLE) AS is_purchase, round(
     "stray_labels": f"WITH {_OWN} SELECT DISTINCT accession_no FROM own ANTI JOIN (SELECT doc_id AS accession_no FROM documents) USING (accession_no)",
     "label_coverage": f"WITH {_OWN} SELECT doc_id AS accession_no FROM documents WHERE doc_id NOT IN (SELECT accession_no FROM own) AND doc_id % 2 <> 0",
     "labelled_only": f"WITH {_OWN} SELECT doc_id AS accession_no FROM documents WHERE doc_id IN (SELECT accession_no FROM own)",
+    "first_outcomes": """WITH l AS (SELECT doc_id AS accession_no, CASE WHEN doc_id % 2 = 0 THEN quality - 0.5 ELSE 0.5 - quality END::DOUBLE AS abnormal_return FROM labels)
+SELECT accession_no, abnormal_return, CAST(abnormal_return > 0 AS INTEGER) AS outcome FROM l SEMI JOIN (SELECT doc_id AS accession_no FROM documents) USING (accession_no)""",
     "issuer_day_weights": f"WITH {FILINGS}, {_BLOCKS} SELECT block, count(*) AS rows, round(count(DISTINCT (day, cik))::DOUBLE, 6) AS issuer_days FROM train GROUP BY block",
     "walk_blocks": f"WITH {FILINGS}, {_BLOCKS} SELECT CAST(day AS VARCHAR) AS day, position, block, CAST(block_start AS VARCHAR) AS block_start FROM blocks",
     "fold_training_set": f"WITH {FILINGS}, {_BLOCKS} SELECT block, CAST(day AS VARCHAR) AS day, count(*) AS rows FROM train GROUP BY ALL",

@@ -41,7 +41,7 @@ def first_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issuer_day_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = packets.rendered(packets.issuer_day_groups(_rows(spark, sf_dir)), ["transaction_code"])
+    groups = packets.rendered(packets.issuer_day_groups(packets.sanitised_packets(_rows(spark, sf_dir), ["transaction_code"], [])), ["transaction_code"])
     return groups.select("cik", F.col("entry_day").cast("string").alias("entry_day"), "before_open", "issuer_day_hash", F.array_join(F.transform("event_ids", lambda x: x.cast("string")), ",").alias("event_ids"), "prompt")
 
 

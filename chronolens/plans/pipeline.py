@@ -21,11 +21,13 @@ class OpenDayError(guards.GuardError):
 
 
 def ingest_day(store: Store, form4_rows: DataFrame, day: str, floor: float = events.DEFAULT_FLOOR) -> dict[str, int]:
-    """Store the day's screened trades. Rejections are written before any guard may stop the day."""
+    """Store the day's screened trades. Rejections are written before any guard may stop the day; a trading day without a filing is none."""
+    attempted = form4_rows.select("accession_no").distinct().count()
+    if not attempted and calendar.is_trading_day(dt.date.fromisoformat(day)):
+        raise OpenDayError(f"no filing was listed on {day}, a trading day")
     found, lost = readers.insider_events(form4_rows)
     reasons = {r["reason"]: r["count"] for r in lost.groupBy("reason").count().collect()}
     store.replace(lost.select("accession_no", F.lit(None).cast("string").alias("ticker"), "reason"), "insider", day, schemas.EXCLUSION, "exclusions")
-    attempted = form4_rows.select("accession_no").distinct().count()
     late, unlisted = reasons.get("no acceptance time", 0), reasons.get("unpriceable issuer", 0)
     if guards.parse_breakage(reasons.get("unreadable cell", 0), attempted - late, unlisted, late):
         raise guards.GuardError(f"{reasons} of {attempted} filings were rejected on {day}")
@@ -34,10 +36,14 @@ def ingest_day(store: Store, form4_rows: DataFrame, day: str, floor: float = eve
 
 
 def ingest_reports(store: Store, reports: DataFrame, facts: DataFrame, day: str) -> dict[str, int]:
-    """Store the day's red-flag reports; cover pages are read for qualifying reports only."""
+    """Store the day's red-flag reports; cover pages are read for qualifying reports only. A report without any captured fact is a failed read."""
     flagged = events.redflag_events(reports)
     named = {"as_of": "timestamp", "issuer": "string", "has_press_release": "boolean"}
     flagged = flagged.withColumns({c: F.lit(None).cast(t) for c, t in named.items() if c not in flagged.columns})
+    reads = flagged.select("accession_no").distinct()
+    failed = reads.join(facts.select("accession_no"), "accession_no", "left_anti").count()
+    if guards.ticker_reads_broken(failed, total := reads.count()):
+        raise guards.GuardError(f"{failed} of {total} cover pages of {day} could not be read")
     wanted = facts.join(flagged.select("accession_no", "cik"), "accession_no")
     securities = events.cover_securities(wanted).join(flagged.select("accession_no", "cik"), "accession_no")
     return {"events": store.replace(events.with_ticker(flagged, events.choose_ticker(securities)), "redflag", day, schemas.REDFLAG_EVENT)}
@@ -68,14 +74,26 @@ def resolve_day(store: Store, domain: str, day: str, bars: DataFrame, issuers: D
 
 
 def build_packets(store: Store, rows: DataFrame, bars: DataFrame, day: str) -> DataFrame:
-    """canonical and content_hash of each event's evidence: named fields and the bars closed at its acceptance, 120 days back."""
-    evening = times.session_close(times.eastern_date(F.col("as_of"))) <= F.col("as_of")
-    known = rows.withColumn("_last", F.when(evening, times.eastern_date(F.col("as_of"))).otherwise(F.date_sub(times.eastern_date(F.col("as_of")), 1)))
-    known = known.withColumn("session", F.explode(F.sequence(F.date_sub(times.eastern_date(F.col("as_of")), HISTORY_DAYS), F.col("_last"))))
+    """canonical and content_hash of each event's evidence: named fields and the bars closed at its acceptance, 120 days back.
+
+    Bars are gathered once a symbol and closing day. An event without evidence is stored as excluded with its reason.
+    """
+    at = times.eastern_date(F.col("as_of"))
+    evening = times.session_close(at) <= F.col("as_of")
+    known = rows.withColumns({"_first": F.date_sub(at, HISTORY_DAYS), "_last": F.when(evening, at).otherwise(F.date_sub(at, 1))})
+    span = ["ticker", "_first", "_last"]
+    spread = known.select(*span).distinct().select(*span, F.explode(F.sequence("_first", "_last")).alias("session"))
     bar = F.struct("session", *[F.col(c).cast(prices.PRICE).alias(c) for c in ("open", "high", "low", "close", "volume")])
-    joined = known.join(bars.withColumnRenamed("symbol", "ticker"), ["ticker", "session"])
+    series = spread.join(bars.withColumnRenamed("symbol", "ticker"), ["ticker", "session"]).groupBy(*span).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
     fields = ["accession_no", "as_of", "cik", "ticker", "insider_name", "transaction_code"]
-    packed = joined.groupBy(*fields).agg(F.array_sort(F.collect_list(bar)).alias("bars")).filter(~F.exists("bars", lambda b: b["close"] <= 0))
+    reason = (
+        F.when(F.col("bars").isNull(), F.concat(F.lit("no price history for "), F.coalesce("ticker", F.lit("an unnamed symbol")), F.lit(" before the event")))
+        .when(F.exists("bars", lambda b: ~F.coalesce(b["close"] > 0, F.lit(False))), "a close is not a price")
+    )
+    judged = known.select(*fields, "_first", "_last").distinct().join(series, span, "left").withColumn("_reason", reason)
+    gone = judged.filter("_reason IS NOT NULL").select("accession_no", "ticker", F.col("_reason").alias("reason")).distinct()
+    store.replace(gone, "insider", day, schemas.EXCLUSION, "packet-exclusions")
+    packed = judged.filter("_reason IS NULL").select(*fields, "bars")
     summary = canonical.exact_summary(F.transform("bars", lambda b: b["close"]), F.transform("bars", lambda b: b["volume"]))
     packet = packed.withColumn("summary", summary).select("accession_no", canonical.canonical_column(F.struct(*fields, "bars", "summary")).alias("canonical"))
     out = packet.withColumn("content_hash", canonical.hash_column(F.col("canonical")))

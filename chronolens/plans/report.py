@@ -11,12 +11,51 @@ def signed(value: float | None, places: int = 4) -> str:
     return "n/a" if value is None or math.isnan(value) else f"{value:+.{places}f}"
 
 
+NEGLIGIBLE, MATERIAL = 0.005, 0.02
+
+
 def verdict(mean: float | None, t: float | None) -> str:
-    if mean is None or t is None:
+    if mean is None or t is None or math.isnan(t):
         return "Too few days to say anything about ranking."
     if abs(t) < 2:
-        return "The rank correlation cannot be told from zero."
-    return f"The forecasts rank issuers {'better' if mean > 0 else 'worse'} than chance."
+        return f"The rank correlation of {signed(mean)} cannot be told from zero (t = {signed(t, 2)}); a short sample would look like this with or without an edge."
+    return f"The forecasts rank issuers {'better' if mean > 0 else 'worse'} than chance (t = {signed(t, 2)}): one test on one sample."
+
+
+def calibration(evaluation: Mapping, bands: Sequence[Mapping]) -> str:
+    """What the stated chances are worth against constants: the rate known at each refit, then the scored period's own, known only afterwards."""
+    skill, after = evaluation["brier_skill"], evaluation["brier_skill_scored_rate"]
+    if skill is None or math.isnan(skill):
+        return "Calibration cannot be judged."
+    known = f"always forecasting the up-rate known at each refit ({evaluation['fitted_base_rate']:.1%} on average)"
+    if abs(skill) < NEGLIGIBLE:
+        parts = [f"As chances the forecasts are worth no more than {known}: Brier skill {signed(skill)}."]
+    elif skill > 0:
+        parts = [f"As chances the forecasts are worth a little more than {known}: Brier skill {signed(skill)}, a weaker claim than ranking."]
+    else:
+        parts = [f"As chances the forecasts are worth less than {known}: Brier skill {signed(skill)}."]
+    if after is not None and not math.isnan(after):
+        parts.append(f"With hindsight, against the scored period's own rate ({evaluation['base_rate']:.1%}), it is {signed(after)}.")
+    if skill < NEGLIGIBLE:
+        parts.append(bias(bands))
+    return " ".join(p for p in parts if p)
+
+
+def bias(bands: Sequence[Mapping]) -> str:
+    """Which way the forecasts miss: the residual weighted by issuer-days, and whether the bands agree on its sign."""
+    misses = [(b["mean_p"] - b["mean_y"], b["n"]) for b in bands if b["n"]]
+    if not misses:
+        return ""
+    shift = sum(m * n for m, n in misses) / sum(n for _, n in misses)
+    above, below = sum(m > 0 for m, _ in misses), sum(m < 0 for m, _ in misses)
+    side = "high" if shift > 0 else "low"
+    if abs(shift) >= MATERIAL:
+        against = below if shift > 0 else above
+        how = f"although {against} of {len(misses)} bands miss the other way" if against else "and every band agrees"
+        return f"They run {side} by {abs(shift):.3f}, {how}."
+    if above and below:
+        return f"{above} bands run high and {below} low: scatter, not a shift."
+    return f"They run slightly {side}, by {abs(shift):.3f}, in every band."
 
 
 def table(head: Sequence[str], rows: Sequence[Sequence[object]]) -> str:
@@ -41,7 +80,7 @@ def group_section(title: str, rows: Sequence[Mapping], accounts: Mapping, name:
 def baseline_report(evaluation: Mapping, bands: Sequence[Mapping], weights: Mapping[str, float], sections: Sequence[str] = ()) -> str:
     ordered = sorted(weights.items(), key=lambda w: (-abs(w[1]), w[0]))
     parts = [
-        "# Baseline forecasts\n", verdict(evaluation["mean_ic"], evaluation["t"]) + "\n",
+        "# Baseline forecasts\n", f"{verdict(evaluation['mean_ic'], evaluation['t'])} {calibration(evaluation, bands)}\n",
         table(["statistic", "value"], [
             ["scored days", evaluation["days"]], ["mean IC", signed(evaluation["mean_ic"])], ["error", signed(evaluation["error"])], ["t", signed(evaluation["t"], 2)],
             ["Brier skill, fitted rate", signed(evaluation["brier_skill"])], ["Brier skill, scored rate", signed(evaluation["brier_skill_scored_rate"])],

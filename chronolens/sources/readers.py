@@ -42,7 +42,7 @@ def insider_events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = judged.join(lost.select("accession_no"), "accession_no", "left_anti")
     out = kept.select(
         "accession_no", "as_of", "cik", text.tradeable_symbol(F.col("Ticker")).alias("ticker"), F.col("Issuer").alias("issuer"), F.col("Insider").alias("insider_name"),
-        F.col("Position").alias("position"), F.upper(F.trim("Code")).alias("transaction_code"), text.strict_decimal(F.col("Shares")).alias("shares"),
+        F.col("Position").alias("position"), F.upper(text.stripped(F.col("Code"))).alias("transaction_code"), text.strict_decimal(F.col("Shares")).alias("shares"),
         *[text.strict_decimal(F.col(f"`{c}`")).alias(a) for c, a in (("Price", "price"), ("Value", "value_usd"), ("Remaining Shares", "remaining_shares"))],
         "is_plan", "owner_ciks",
     )

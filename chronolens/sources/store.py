@@ -32,9 +32,12 @@ class Store:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         rows.write.mode("overwrite").parquet(self._path(stage, domain, day))
         n = self.spark.read.schema(rows.schema).parquet(self._path(stage, domain, day)).count()
+        self._record(domain, day, stage, n)
+        return n
+
+    def _record(self, domain: str, day: str, stage: str, n: int) -> None:
         entry = self.spark.createDataFrame([(domain, day, stage, n)], "domain string, day string, stage string, rows long")
         entry.withColumn("day", F.to_date("day")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{stage}-{domain}-{day}")
-        return n
 
     def manifest(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
@@ -48,11 +51,12 @@ class Store:
     def days(self, domain: str, stage: str = "events") -> DataFrame:
         return self.manifest().filter((F.col("domain") == domain) & (F.col("stage") == stage)).select("day").distinct().orderBy("day")
 
-    def read(self, domain: str, day: str, schema: T.StructType, stage: str = "events") -> DataFrame:
-        """Rows of a day; columns an old partition lacks are NULL, a day never processed is an error."""
+    def read(self, domain: str, day: str, schema: T.StructType, stage: str = "events", position: str | None = None) -> DataFrame:
+        """Rows of a day; columns an old partition lacks are NULL, a day never processed is an error. position: name of a column of the stored order."""
         if not self.exists(domain, day, stage):
             raise FileNotFoundError(f"{stage} of {domain} on {day} were never stored")
-        return self.spark.read.schema(schema).parquet(self._path(stage, domain, day))
+        rows = self.spark.read.schema(schema).parquet(self._path(stage, domain, day))
+        return rows.withColumn(position, F.struct("_metadata.file_name", "_metadata.row_index")) if position else rows
 
     def read_days(self, domain: str, days: list[str], schema: T.StructType, stage: str = "events") -> DataFrame:
         """One partition-pruned scan over those of the days that are stored, with their day."""
@@ -60,9 +64,13 @@ class Store:
         rows = self.spark.read.schema(wanted).parquet(f"{self.root}/{stage}")
         return rows.filter((F.col("domain") == domain) & F.col("day").isin([F.to_date(F.lit(d)) for d in days])) if days else rows.limit(0)
 
-    def write_packets(self, packets: DataFrame, domain: str, day: str, column: str = "canonical") -> None:
-        """Gzip text whose lines are the hashed bytes."""
-        packets.select(column).write.mode("overwrite").text(self._path("packets", domain, day), compression="gzip")
+    def write_packets(self, packets: DataFrame, domain: str, day: str, column: str = "canonical") -> int:
+        """Gzip text whose lines are the hashed bytes, recorded as processed."""
+        path = self._path("packets", domain, day)
+        packets.select(column).write.mode("overwrite").text(path, compression="gzip")
+        n = self.spark.read.text(path).count()
+        self._record(domain, day, "packets", n)
+        return n
 
     def read_packets(self, domain: str, day: str) -> DataFrame:
         """canonical, content_hash; every line must survive parsing and re-rendering unchanged."""
