@@ -43,8 +43,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))  # texts that go to the library whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -61,7 +60,7 @@ class WordEncoder:
                 start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if self.whole.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        words = [None if _OTHER.search(t) or any(a in t for a in self.added) else _WORDS.findall(t.lower()) for t in texts]
         fresh = set().union(*(w for w in words if w)) - self.known.keys()
         if len(fresh) + len(self.known) > CACHED_WORDS:
             fresh |= set().union(*(w for w in words if w))

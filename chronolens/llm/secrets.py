@@ -33,7 +33,7 @@ COMMON_PARTS = (
 KNOWN_PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[bp]-|sk-|sk_live_|pk_live_|AIza|eyJ"
 NAME_END = "(?:[_ -]?(?:key|keys|id|ids|token|tokens|secret|secrets))?"
 FINDING = (
-    rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{{0,200}}[0-9]|{KNOWN_PREFIXES})[A-Za-z0-9_+/-]{{16,}}={{0,2}}"
+    rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9]|{KNOWN_PREFIXES})[A-Za-z0-9_+/-]{{16,}}={{0,2}}"
     rf"|(?<=[\s:=\"'])(?<=(?i:(?:{SECRET_WORDS})s?{NAME_END}{NAME_END})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"']{{8,}}"
 )
 BEFORE, AFTER = 48, 24

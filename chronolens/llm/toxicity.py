@@ -287,11 +287,12 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> list:
     """At most max_per_class (text, toxic) rows of each class, outside the held-out fold, in an order fixed by doc_id."""
     own = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars)
+    usable = own.join(texts.select("doc_id"), "doc_id", "left_semi")
     picked = None
     for kind in (0, 1):
-        some = own.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
+        some = usable.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= max_chars)
     return texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * max_per_class).select("text", "toxic").collect()
 
 

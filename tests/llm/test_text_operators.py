@@ -274,9 +274,31 @@ def test_passages_meet_past_unrelated_representatives(spark):
     assert {r["doc_id"] for r in rows} == set(range(len(texts)))
 
 
+def recall_of_edited_passages(spark, rng, groups, size, share):
+    """Of the documents whose edited passage reaches 0.75 with another's of its group, how many are found."""
+    texts, sets = [], []
+    for _ in range(groups):
+        root = prose(rng, 90)
+        for _ in range(size):
+            passage = mutated(rng, root, share)
+            sets.append((len(texts) // size, shingles(passage)))
+            texts.append(" ".join([prose(rng, 30), passage, prose(rng, 30)]))
+    alike = {
+        i for i, (g, a) in enumerate(sets) for j in range(g * size, (g + 1) * size) if i != j and len(a & sets[j][1]) >= 0.75 * len(a | sets[j][1])
+    }
+    found = {r["doc_id"] for r in passages.near_passages(documents(spark, texts)).collect()}
+    return len(alike & found) / len(alike)
+
+
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(21)
+    assert recall_of_edited_passages(spark, rng, 150, 2, 0.02) >= 0.97
+    assert recall_of_edited_passages(spark, rng, 1, 300, 0.02) >= 0.95
+
+
 def passage_spans(text, other, seed):
     own, theirs = (passages.shingle_hashes(passages.words_of(t)) for t in (text, other))
-    return passages.verified(own, theirs, np.argsort(theirs, kind="stable"), np.array([seed]), 46, 0.75)
+    return passages.verified(own, passages.Ranked(theirs), np.array([seed]), 46, 0.75)
 
 
 def test_verification_bridges_what_the_similarity_allows():
