@@ -15,51 +15,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 WIDTH = 3
 
 
-def line_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (hash of id and text), h1, h2 (window hash) and at (first line, from 0) of every window."""
-    lines = F.col("_lines")
+def line_windows(docs: DataFrame, row: str) -> DataFrame:
+    """doc_id, row (hash of id and text), h1, h2 (window hash) and at (first line, from 0) of every window."""
     windows = F.transform(
-        F.sequence(F.lit(1), F.size(lines) - (WIDTH - 1)),
-        lambda i: F.array_join(F.slice(lines, i, WIDTH), "\n"),
+        F.sequence(F.lit(1), F.size("lines") - (WIDTH - 1)),
+        lambda i: F.array_join(F.slice("lines", i, WIDTH), "\n"),
     )
     return (
-        docs.select("doc_id", "_row", F.split("text", "\n").alias("_lines"))
-        .filter(F.size("_lines") >= WIDTH)
-        .select("doc_id", "_row", F.posexplode(windows).alias("at", "window"))
+        docs.select("doc_id", F.col(row).alias("row"), F.split("text", "\n").alias("lines"))
+        .filter(F.size("lines") >= WIDTH)
+        .select("doc_id", "row", F.posexplode(windows).alias("at", "window"))
         .filter(F.col("window").rlike(r"[^\s]"))
-        .select("doc_id", "_row", "at", F.xxhash64("window").alias("h1"), F.xxhash64(F.lit("second"), "window").alias("h2"))
+        .select("doc_id", "row", "at", F.xxhash64("window").alias("h1"), F.xxhash64(F.lit("second"), "window").alias("h2"))
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut to the lines that stay, plus lines_in and lines_kept (null text: 0 and 0)."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    windows = line_windows(keyed)
+    """docs with text cut to the lines that stay, plus lines_in and lines_kept (null text: 0 and 0); columns of these names are replaced."""
+    docs = docs.drop("lines_in", "lines_kept")
+    row, id_, same, starts = free_name(docs, "row", "id", "same", "starts")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    windows = line_windows(keyed, row)
     repeated = (
         windows.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "_row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").drop("n")
     )
-    later = windows.join(repeated, ["h1", "h2"]).filter(F.struct("doc_id", "_row", "at") > F.col("first"))
-    covered = (
-        later.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_same"))
-        .agg(F.collect_set("at").alias("_starts"))
-    )
+    later = windows.join(repeated, ["h1", "h2"]).filter(F.struct("doc_id", "row", "at") > F.col("first"))
+    covered = later.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(same)).agg(F.collect_set("at").alias(starts))
     lines = F.split("text", "\n")
-    gone = F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (WIDTH - 1))))
+    gone = F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (WIDTH - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return (
-        keyed.join(covered, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_same") == F.col("_row")), "left")
+        keyed.join(covered, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(same) == F.col(row)), "left")
         .withColumn("lines_in", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("lines_kept", F.when(F.col("_starts").isNull(), F.col("lines_in")).otherwise(F.size(stay)).cast("long"))
-        .withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(kept))
-        .drop("_row", "_id", "_same", "_starts")
+        .withColumn("lines_kept", F.when(F.col(starts).isNull(), F.col("lines_in")).otherwise(F.size(stay)).cast("long"))
+        .withColumn("text", F.when(F.col(starts).isNull(), F.col("text")).otherwise(kept))
+        .drop(row, id_, same, starts)
     )
 
 

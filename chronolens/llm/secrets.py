@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 # Names that announce a credential, names that announce something else, and common parts of identifiers.
 SECRET_WORDS = "token|secret|passwd|password|pwd|api[_ -]?key|apikey|auth|credential|bearer|private|access[_ -]?key|client"
@@ -158,54 +158,59 @@ def vote_share(trees: list[list], features: Column, names: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [of(t) for t in trees]) / len(trees)
 
 
-def with_findings(docs: DataFrame, trees: list[list]) -> DataFrame:
-    """docs with _between (the text around findings) and _found: array of start, finding, score in text order."""
+def with_findings(docs: DataFrame, trees: list[list]) -> tuple[DataFrame, str, str]:
+    """docs with two more columns and their names: the text around findings, and an array of start, finding, score in text order."""
+    raw, between, described, found = free_name(docs, "raw", "between", "described", "found")
     pairs = F.transform(
-        "_raw",
+        raw,
         lambda finding, i: F.struct(
             finding.alias("finding"),
-            F.right(F.get("_between", i), F.lit(BEFORE)).alias("before"),
-            F.left(F.get("_between", i + 1), F.lit(AFTER)).alias("after"),
+            F.right(F.get(between, i), F.lit(BEFORE)).alias("before"),
+            F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after"),
         ),
     )
     names = [n for n, _ in feature_columns(F.lit(""), F.lit(""), F.lit(""))]
-    described = F.transform(
+    features = F.transform(
         pairs,
         lambda p: F.struct(p["finding"].alias("finding"), F.struct(*[c.cast("double").alias(n) for n, c in feature_columns(p["finding"], p["before"], p["after"])]).alias("f")),
     )
-    lengths = F.transform("_raw", lambda x, i: F.length(F.get("_between", i)) + F.length(x))
-    starts = F.transform("_raw", lambda x, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, b: a + b) - F.length(x))
-    return (
-        docs.withColumn("_raw", F.regexp_extract_all("text", F.lit(FINDING), F.lit(0)))
-        .withColumn("_between", F.when(F.size("_raw") > 0, F.split("text", FINDING)))
-        .withColumn("_described", F.when(F.size("_raw") > 0, described))
+    lengths = F.transform(raw, lambda x, i: F.length(F.get(between, i)) + F.length(x))
+    starts = F.transform(raw, lambda x, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, b: a + b) - F.length(x))
+    rows = (
+        docs.withColumn(raw, F.regexp_extract_all("text", F.lit(FINDING), F.lit(0)))
+        .withColumn(between, F.when(F.size(raw) > 0, F.split("text", FINDING)))
+        .withColumn(described, F.when(F.size(raw) > 0, features))
         .withColumn(
-            "_found",
+            found,
             F.transform(
-                "_described",
+                described,
                 lambda p, i: F.struct(F.get(starts, i).cast("long").alias("start"), p["finding"].alias("finding"), vote_share(trees, p["f"], names).alias("score")),
             ),
         )
-        .drop("_raw", "_described")
+        .drop(raw, described)
     )
+    return rows, between, found
 
 
 def scan(docs: DataFrame, trees: list[list] | None = None) -> DataFrame:
     """One row per finding: the columns of docs but text and those named like a result, start (character, from 0), finding, score, secret."""
     trees = trees or fit_forest(labelled_findings(docs.sparkSession))
-    rest = [c for c in docs.columns if c not in ("text", "start", "finding", "score", "secret")]
+    rest = [f"`{c}`" for c in docs.columns if c not in ("text", "start", "finding", "score", "secret")]
+    rows, _, found = with_findings(docs, trees)
+    [one] = free_name(rows, "one")
     return (
-        with_findings(docs, trees).select(*rest, F.explode("_found").alias("_one"))
-        .select(*rest, "_one.start", "_one.finding", "_one.score", (F.col("_one.score") >= THRESHOLD).alias("secret"))
+        rows.select(*rest, F.explode(found).alias(one))
+        .select(*rest, f"{one}.start", f"{one}.finding", f"{one}.score", (F.col(f"{one}.score") >= THRESHOLD).alias("secret"))
     )
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", trees: list[list] | None = None) -> DataFrame:
     """docs with every finding judged a secret replaced by mark."""
     trees = trees or fit_forest(labelled_findings(docs.sparkSession))
-    pieces = F.transform("_found", lambda f, i: F.concat(F.get("_between", i), F.when(f["score"] >= THRESHOLD, F.lit(mark)).otherwise(f["finding"])))
-    clean = F.concat(F.array_join(pieces, ""), F.element_at("_between", -1))
-    return with_findings(docs, trees).withColumn("text", F.when(F.col("_between").isNull(), F.col("text")).otherwise(clean)).drop("_between", "_found")
+    rows, between, found = with_findings(docs, trees)
+    pieces = F.transform(found, lambda f, i: F.concat(F.get(between, i), F.when(f["score"] >= THRESHOLD, F.lit(mark)).otherwise(f["finding"])))
+    clean = F.concat(F.array_join(pieces, ""), F.element_at(between, -1))
+    return rows.withColumn("text", F.when(F.col(between).isNull(), F.col("text")).otherwise(clean)).drop(between, found)
 
 
 def op9_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 16, 12, 12
@@ -304,16 +304,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     constant = sum(targets) / len(targets) if targets else 0.0
     rows = docs.drop("score") if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
     names = rows.columns
+    [result] = free_name(rows, "result")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = scorer.scores(texts) if scorer else np.full(len(texts), constant)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, result])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(score, f"{schema}, _score double").withColumnRenamed("_score", "score")
+    out = rows.mapInArrow(score, f"{schema}, `{result}` double").withColumnRenamed(result, "score")
     return out if keep is None or "text" in keep else out.drop("text")
 
 

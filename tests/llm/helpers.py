@@ -2,12 +2,13 @@
 
 import re
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, path string, key long, size string"
+CLASH = "row same starts raw between described found one gone result range group space _row _lines _raw _between _key".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, path string, key long, size string, " + ", ".join(f"{c} string" for c in CLASH)
 
 
 def documents(spark, texts, ids=None):
     """documents with extra columns whose names clash with those the operators use inside."""
-    rows = [(ids[k] if ids else k, t, None if k % 3 == 0 else "en", "s", len(t) if t is not None else None, "p", k, "x") for k, t in enumerate(texts)]
+    rows = [(ids[k] if ids else k, t, None if k % 3 == 0 else "en", "s", len(t) if t is not None else None, "p", k, "x", *CLASH) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -1,6 +1,11 @@
+import random
+
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 
-from .helpers import documents
+from .helpers import brute_components, documents
+from .test_text_operators import WORD_BPE, brute_lines, corpus, prose
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
@@ -19,3 +24,32 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
     assert kept[45]["text"] == 'see token = "[secret]" now and then' and kept[45]["n_chars"] == len(kept[45]["text"])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(kept)
+
+
+def test_the_pipeline_takes_repeats_and_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark, ["a\nb\nc and more words here", "a\nb\nc and more words here", None, "", "other words " * 3000], ids=[7, 7, 8, 9, None])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r["doc_id"]) for r in packed}) == ["7", "8", "9", "None"] and sum(r["doc_id"] == 7 for r in packed) == 2
+    none = documents(spark, ["x"]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_stages_agree_with_plain_versions(spark, tmp_path):
+    """Line dedup, near-dedup, redaction and packing of run() against versions without Spark, on rows no stage before rejects."""
+    rng = random.Random(31)
+    texts = corpus(31, 30) + [f"{prose(rng, 6)}\n{prose(rng, 6)}\nshared one\nshared two\nshared three\n{prose(rng, 9)}" for _ in range(6)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    lines = brute_lines(texts)
+    left = [k for k, t in enumerate(lines) if t or not texts[k]]
+    classes = brute_components([lines[k] for k in left])
+    left = [k for i, k in enumerate(left) if classes[i] == i]
+    library = Tokenizer.from_file(WORD_BPE)
+    want = {k: len(library.encode(lines[k] or "", add_special_tokens=False).ids) + 1 for k in left}
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want

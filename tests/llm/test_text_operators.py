@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolens.llm import common, line_dedup, near_dedup, packing, passages, piece_bpe, secrets, sharding, toxicity
 
-from .helpers import brute_components, documents, shingles, words
+from .helpers import CLASH, brute_components, documents, shingles, words
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "one", "İstanbul ﬁne ½ don't!!'s\u0085x", "a\n\n\nb\n\n\nc", "x" * 5000, "日本語 🙂 tab\tz", "▁▁ under  two", "same text", "same text", "x <|endoftext|> y", "<|startoftext|>a<|ENDOFTEXT|>"]
@@ -80,6 +80,7 @@ def test_written_shards_hold_whole_documents(spark, texts, tmp_path):
     sharding.write_shards(documents(spark, texts), str(tmp_path / "s"), shards=4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter(r["text"] for r in back.collect()) == Counter(texts)
+    assert all(r[c] == c for r in back.collect() for c in CLASH)
     assert {(r["doc_id"], r["key"], r["size"], r["path"]) for r in back.collect()} == {(k, k, "x", "p") for k in range(len(texts))}
 
 
@@ -110,6 +111,7 @@ def test_repeated_windows_go_but_the_first(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
     assert [got[k]["text"] for k in range(len(texts))] == brute_lines(texts)
     assert got[80]["lines_in"] == 0 and got[len(texts) - 1]["lines_kept"] == 0 and got[0]["source"] == "s"
+    assert all(r[c] == c for r in got.values() for c in CLASH)
 
 
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
@@ -330,6 +332,9 @@ def test_secrets_are_told_from_lookalikes(spark):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, trees=trees).collect()}
     assert clean[2] == 'token = "[secret]" and on' and clean[3] == texts[3] and clean[0] is None and clean[8] == 'x token = "[secret]"' * 3
     assert secrets.scan(docs.limit(0), trees).count() == 0
+    assert all(r[c] == c for r in [*rows, *secrets.redact(docs, trees=trees).collect()] for c in CLASH)
+    late = "x" * 900 + "5d190bd7c06284de91015a36974748794293dd8a"
+    assert [r["finding"] for r in secrets.scan(documents(spark, [f'token = "{late}" end']), trees).collect()] == [late]
     clash = docs.withColumnRenamed("path", "score").withColumnRenamed("key", "start")
     assert secrets.scan(clash, trees).filter("secret").count() == 5
 
