@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +32,28 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Files of the shuffles of queries run within go when each query ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the data.
 
-    What drop_stored() has not deleted before is deleted when the driver ends, since results read their tables lazily.
+    Shuffle files of the write go with it; until then lost ones are made again. What drop_stored() has not deleted
+    before is deleted when the driver ends, since results read their tables lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     hadoop, files = _file_system(spark, path)
     files.deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

@@ -51,6 +51,17 @@ def test_sessions_of_several_machines_need_a_shared_folder(spark, monkeypatch):
     assert stored.count() == 5 and common.free_name(stored, "N", "m") == ["N_", "m"]
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert {r["count"] for r in common.store(counted).collect()} == {142, 143}
+    assert spark.conf.get(key) == before and counted.count() == 7
+    with pytest.raises(ZeroDivisionError), common.shuffles_removed(spark):
+        assert spark.conf.get(key) == "true" and 1 / 0
+    assert spark.conf.get(key) == before
+
+
 # sharding
 
 
@@ -231,6 +242,27 @@ def test_heavy_texts_split_their_groups(spark, monkeypatch):
 # passages
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 9 if k % 3 else 2**40, int(rng.integers(7, 60))).astype(np.uint64) for k in range(40)]
+    number, keys, places = passages.windows_of(texts, 7)
+    for k, text in enumerate(texts):
+        alone = set()
+        for h, seed in enumerate(passages.SEEDS):
+            values = passages.mixed(text ^ seed)
+            alone |= {(int(values[c]), int(c), int(c - lo), int(r - c), h) for lo, c, r in zip(*passages.compact_windows(values, 7), strict=True)}
+        own = [(int(np.int64(v).view(np.uint64)), w >> 32, w >> 18 & 0x3FFF, w >> 4 & 0x3FFF, w & 15) for v, w in zip(keys[number == k].tolist(), places[number == k].tolist(), strict=True)]
+        assert len(own) == len(set(own)) and set(own) == alone
+
+
+def test_a_reused_doc_id_keeps_its_texts_apart(spark):
+    rng = random.Random(17)
+    shared = prose(rng, 70)
+    texts = [f"{prose(rng, 20)} {shared}", prose(rng, 90), f"{shared} {prose(rng, 20)}"]
+    rows = passages.near_passages(documents(spark, texts, ids=[1, 1, 2])).collect()
+    assert {(r["doc_id"], r["start_word"], r["partner_start"]) for r in rows} == {(1, 20, 0), (2, 0, 20)}
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(1)
     for trial in range(120):
