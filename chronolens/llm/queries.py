@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, line_dedup, near_dedup, packing, passages, piece_bpe, secrets, sharding, topk, toxicity
+from . import hnsw, line_dedup, near_dedup, packing, passages, periodic, piece_bpe, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_windows": line_dedup.op8_line_windows,
     "op9_forest_secrets": secrets.op9_forest_secrets,
     "op10_chosen_path": near_dedup.op10_chosen_path,
+    "op11_harmonic_runs": periodic.op11_harmonic_runs,
 }
 
 ORACLE_SQL = {
