@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, line_dedup, near_dedup, packing, passages, periodic, piece_bpe, secrets, sharding, topk, toxicity
+from . import hnsw, lexical, line_dedup, near_dedup, packing, passages, periodic, piece_bpe, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_forest_secrets": secrets.op9_forest_secrets,
     "op10_chosen_path": near_dedup.op10_chosen_path,
     "op11_harmonic_runs": periodic.op11_harmonic_runs,
+    "op12_shard_wand": lexical.op12_shard_wand,
 }
 
 ORACLE_SQL = {
     "op3_histogram_topk": topk.OP3_SQL,
     "op8_line_windows": line_dedup.OP8_SQL,
+    "op12_shard_wand": lexical.OP12_SQL,
 }
