@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, lexical, line_dedup, near_dedup, packing, passages, periodic, piece_bpe, secrets, sharding, topk, toxicity
+from . import fertility, hnsw, lexical, line_dedup, near_dedup, packing, passages, periodic, piece_bpe, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chosen_path": near_dedup.op10_chosen_path,
     "op11_harmonic_runs": periodic.op11_harmonic_runs,
     "op12_shard_wand": lexical.op12_shard_wand,
+    "op13_fertility_bands": fertility.op13_fertility_bands,
 }
 
 ORACLE_SQL = {
