@@ -35,10 +35,11 @@ def line_windows(docs: DataFrame, row: str) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut to the lines that stay, plus lines_in and lines_kept (null text: 0 and 0); columns of these names are replaced."""
-    docs = docs.drop("lines_in", "lines_kept")
-    row, id_, same, starts = free_name(docs, "row", "id", "same", "starts")
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("lines_in", "lines_kept")) -> DataFrame:
+    """docs with text cut to the lines that stay, plus the lines of before and after (null text: 0 and 0), named by counts; columns of these names are replaced."""
+    lines_in, lines_kept = counts
+    docs = docs.drop(*counts)
+    row, id_, same, starts = free_name(docs.select("*", F.lit(0).alias(lines_in), F.lit(0).alias(lines_kept)), "row", "id", "same", "starts")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     windows = line_windows(keyed, row)
     repeated = (
@@ -54,8 +55,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return (
         keyed.join(covered, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col(same) == F.col(row)), "left")
-        .withColumn("lines_in", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("lines_kept", F.when(F.col(starts).isNull(), F.col("lines_in")).otherwise(F.size(stay)).cast("long"))
+        .withColumn(lines_in, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        .withColumn(lines_kept, F.when(F.col(starts).isNull(), F.col(lines_in)).otherwise(F.size(stay)).cast("long"))
         .withColumn("text", F.when(F.col(starts).isNull(), F.col("text")).otherwise(kept))
         .drop(row, id_, same, starts)
     )

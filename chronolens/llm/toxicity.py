@@ -12,8 +12,8 @@ word, so a window costs its recurrent steps only.
 
 Defined cases: a text that is null or without words has no window and gets the score of one empty window; without
 labelled documents of both classes every score is the share of toxic ones (0 without any); labels that are neither 0
-nor 1 are left out; rows that repeat are scored each; an empty table gives an empty result; a column named score is
-replaced; no column but text is ever an input of a score.
+nor 1 are left out; rows that repeat are scored each; an empty table gives an empty result; a column named like the
+result is replaced; no column but text is ever an input of a score.
 """
 
 from __future__ import annotations
@@ -296,25 +296,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX
     return texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * max_per_class).select("text", "toxic").collect()
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns named in keep) with score, the chance of the label toxic."""
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, result: str = "score") -> DataFrame:
+    """docs (or its columns named in keep) with the chance of the label toxic, in a column named by result."""
     sample = labelled_sample(docs, labels)
     targets = [int(r["toxic"]) for r in sample]
     network = fit([r["text"] for r in sample], targets) if 0 < sum(targets) < len(targets) else None
     constant = sum(targets) / len(targets) if targets else 0.0
-    rows = docs.drop("score") if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.drop(result) if keep is None else docs.select(*dict.fromkeys([*keep, "text"]))
     names = rows.columns
-    [result] = free_name(rows, "result")
+    [found_name] = free_name(rows, "result")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network) if network else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = scorer.scores(texts) if scorer else np.full(len(texts), constant)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, result])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], [*names, found_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(score, f"{schema}, `{result}` double").withColumnRenamed(result, "score")
+    out = rows.mapInArrow(score, f"{schema}, `{found_name}` double").withColumnRenamed(found_name, result)
     return out if keep is None or "text" in keep else out.drop("text")
 
 

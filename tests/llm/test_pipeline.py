@@ -53,3 +53,19 @@ def test_stages_agree_with_plain_versions(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
+
+
+def test_columns_named_like_results_keep_their_values(spark, tmp_path):
+    """Case does not tell columns apart in a session, so one spelling of each name is tried at a time."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = ["keep", "a\nb\nc\nd", "a\nb\nc", None, "keep me too"]
+    for names in (("score", "lines_in", "lines_kept", "component_id", "kept"), ("Score", "LINES_IN", "Lines_Kept", "Component_id", "n_shingles")):
+        docs = spark.createDataFrame([(k, t, 7.5, "in", k, "c", "k") for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} {t}" for n, t in zip(names, ("double", "string", "long", "string", "string"))))
+        before = {r["doc_id"]: tuple(r)[2:] for r in docs.collect()}
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, docs, str(tmp_path))
+            assert left.columns == docs.columns and left.dtypes == docs.dtypes
+            rows = left.collect()
+            assert len(rows) >= 4 and all(tuple(r)[2:] == before[r["doc_id"]] for r in rows)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted(r["doc_id"] for r in packed) == list(range(len(texts)))
