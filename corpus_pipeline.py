@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolens.llm import line_dedup, near_dedup, packing, secrets, toxicity
-from chronolens.llm.common import drop_stored, store, table
+from chronolens.llm.common import drop_stored, free_name, store, table
 
 ORACLE_SQL = None
 
@@ -30,11 +30,14 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(docs, table(spark, sf_dir, "labels")).filter("score < 0.5").select(*docs.columns)
+    [score] = free_name(docs, "score")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), result=score)
+    return scored.filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).filter("lines_kept > 0 OR lines_in = 0")
+    lines_in, lines_kept = free_name(docs, "lines_in", "lines_kept")
+    left = line_dedup.dedup_lines(docs, (lines_in, lines_kept)).filter((F.col(lines_kept) > 0) | (F.col(lines_in) == 0))
     return _with_length(left, docs.columns)
 
 
