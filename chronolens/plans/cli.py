@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..operators import breakdowns, calendar
 from ..operators.guards import GuardError
 from ..sources import readers, schemas
+from ..sources.commits import CommitLog
 from ..sources.store import Store
-from . import catalog, pipeline, report
+from . import arm_ledger, catalog, pipeline, report
 from .backfill import WindowsStillOpenError, backfill, resolve_domains
 from .settings import SettingsError, load_settings
 
@@ -98,11 +99,9 @@ def check(args: argparse.Namespace) -> None:
 
 
 def ledger_up(args: argparse.Namespace) -> None:
-    """Lay down empty ledger tables where there are none; existing rows stay."""
-    spark = session()
-    for name, schema in (("predictions", schemas.PREDICTION), ("calls", schemas.LLM_CALL), ("exclusions", schemas.AGENT_EXCLUSION)):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{args.ledger}/{name}")
-    print({"ledger": args.ledger})
+    """Raise the ledger to the current declarations, or to an earlier step; published rows stay."""
+    log = CommitLog(session(), args.ledger)
+    print({"ledger": args.ledger, "declared": arm_ledger.upgrade(log, args.to), "files": log.verify()})
 
 
 STORE, DAY, BARS = ("--store", {"required": True}), ("day", {}), ("--bars", {"required": True})
@@ -115,7 +114,7 @@ COMMANDS = {
     "backfill": (run_backfill, [("first", {}), ("last", {}), STORE, *SOURCES, *LABELS, ("--every", {"type": int, "default": 1}), ("--packets", {"action": "store_true"})]),
     "agent-compare": (agent_compare, [("base", {}), ("other", {}), ("first", {}), ("last", {})]),
     "check": (check, []),
-    "ledger-up": (ledger_up, [("ledger", {})]),
+    "ledger-up": (ledger_up, [("ledger", {}), ("--to", {"type": int, "default": len(arm_ledger.STEPS)})]),
     "report": (lambda args: write_report(session(), args.tables, args.out), [("tables", {}), ("out", {})]),
     "run": (lambda args: catalog.QUERIES[args.query](session(), args.tables).show(50, truncate=False), [("query", {}), ("tables", {})]),
     "queries": (lambda args: print("\n".join(sorted(catalog.QUERIES))), []),

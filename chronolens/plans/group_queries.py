@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, text
 from ..operators import breakdowns, ledger, metrics
+from ..sources.commits import CommitLog, Field
+from ..sources.scratch import scratch_path
+from . import arm_ledger
 from .roles import FILINGS, SCORES, filings, ic_sql, read
 
 
@@ -196,9 +199,28 @@ def unique_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings in two commits under one key, read back."""
     rows = filings(spark, sf_dir).select("accession_no", "cik")
-    both = ledger.append_unique(rows.filter("accession_no % 2 = 0"), rows.filter("accession_no % 2 = 1"), ["accession_no"])
-    return both.groupBy("cik").agg(F.count(F.lit(1)).alias("n"))
+    log = CommitLog(spark, scratch_path(spark, "ledger"))
+    log.declare("filings", [Field("accession_no", "long", False), Field("cik", "long", False)], key=["accession_no"])
+    for part in (0, 1):
+        log.append({"filings": rows.filter(F.col("accession_no") % 2 == part)})
+    return log.read("filings").groupBy("cik").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metered calls appended under three declarations of their table, read as one."""
+    rows = filings(spark, sf_dir).withColumn("shares", F.coalesce("shares", F.lit(0)))
+    calls = rows.select(
+        "accession_no", F.col("day").cast("string").alias("run_id"), F.col("transaction_code").alias("model"), F.col("shares").alias("input"), F.lit(1).alias("output"),
+        F.col("remaining_shares").alias("cache_read"), F.col("cik").alias("issuer_day_hash"), (F.col("shares") * 3).alias("cache_write"), F.col("value_usd").alias("cost_usd"),
+    )
+    log = CommitLog(spark, scratch_path(spark, "ledger"))
+    later = [[], ["issuer_day_hash"], ["issuer_day_hash", "cache_write"]]
+    for step, added in enumerate(later):
+        arm_ledger.upgrade(log, step + 1)
+        log.append({"calls": calls.filter(F.col("accession_no") % 3 == step).select("run_id", "model", "input", "output", "cache_read", "cost_usd", *added)})
+    return log.read("calls").groupBy("model", "issuer_day_hash").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.expr("input + output + cache_read + cache_write")).alias("tokens"), F.sum("cost_usd").cast("double").alias("cost"))
 
 
 def group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +271,7 @@ QUERIES = {
     for f in (
         size_terciles, ic_by_size, group_accounting, history_trades, history_skipped, pair_class, event_class, issuer_day_class, ic_by_type, type_accounting, arm_comparison,
         paired_difference, packet_hash, issuer_day_hash, prompt_render, issuer_day_groups, usage_by_model, spend_since, run_tokens, exclusion_counts, cost_join, sample_means,
-        sample_statuses, unique_guard, append_ledger, group_states, running_cost, window_utilisation,
+        sample_statuses, unique_guard, append_ledger, ledger_versions, group_states, running_cost, window_utilisation,
     )
 }
 ORACLE_SQL = {
@@ -288,6 +310,9 @@ SELECT cik, CAST(CAST(local AS DATE) AS VARCHAR) AS day, CAST(local AS TIME) < T
     "sample_statuses": f"WITH {FILINGS} SELECT {_status('1.1::DOUBLE', 'accession_no % 23 = 0')} AS status, count(*) AS n FROM filings GROUP BY 1",
     "unique_guard": f"""WITH {FILINGS}, e AS (SELECT cik, day FROM filings WHERE accession_no % 2 = 0), r AS (SELECT cik, day FROM filings WHERE accession_no % 2 = 1)
 SELECT cik, CAST(day AS VARCHAR) AS day FROM (SELECT cik, day FROM r GROUP BY ALL HAVING count(*) > 1 UNION SELECT r.cik, r.day FROM r SEMI JOIN e USING (cik, day))""",
+    "ledger_versions": f"""WITH {FILINGS} SELECT transaction_code AS model, CASE WHEN accession_no % 3 > 0 THEN cik::VARCHAR END AS issuer_day_hash, count(*) AS calls,
+  sum(coalesce(shares, 0) + 1 + remaining_shares + CASE WHEN accession_no % 3 = 2 THEN 3 * coalesce(shares, 0) ELSE 0 END)::BIGINT AS tokens, sum(value_usd::DECIMAL(12, 6))::DOUBLE AS cost
+FROM filings GROUP BY ALL""",
     "append_ledger": "SELECT user_id AS cik, count(*) AS n FROM events GROUP BY 1",
     "group_states": f"""WITH {FILINGS}, m AS (SELECT cik, (day < DATE '2024-01-10' OR cik % 10 = 0) AND cik % 10 <> 1 AS known FROM filings), g AS (SELECT cik, CASE WHEN bool_and(known) THEN 'done' WHEN bool_or(known) THEN 'changed' ELSE 'new' END AS state FROM m GROUP BY cik)
 SELECT state, count(*) AS n FROM g GROUP BY state""",
