@@ -20,6 +20,10 @@ class UncoveredCalendarError(ValueError):
     """A date in a year whose holidays are not known."""
 
 
+class MissingDaysError(ValueError):
+    """Trading days of a range that were never built."""
+
+
 def is_trading_day(day: dt.date, holidays: Iterable[str] = HOLIDAYS, years: Iterable[int] = COVERED_YEARS) -> bool:
     if day.year not in set(years):
         raise UncoveredCalendarError(f"{day} is in a year without a holiday table")
@@ -59,3 +63,11 @@ def sampled_days(calendar: DataFrame, every: int) -> DataFrame:
 def missing_days(calendar: DataFrame, built: DataFrame) -> DataFrame:
     """Trading days without a built partition."""
     return calendar.filter("trading").select("day").join(built.select("day").distinct(), "day", "left_anti")
+
+
+def require_built(calendar: DataFrame, built: DataFrame, shown: int = 5) -> None:
+    """Raise, naming the first of them, if a trading day has no built partition."""
+    gaps = missing_days(calendar, built)
+    first = [r["day"].isoformat() for r in gaps.orderBy("day").limit(shown).collect()]
+    if first:
+        raise MissingDaysError(f"{gaps.count()} trading days have no packets, the first: {', '.join(first)}")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .features import FEATURES
-from .metrics import issuer_days
 
 INITIAL_FRACTION = 0.3
+BATCH_ROWS = 2048
 REFIT_EVERY = 10
 
 
@@ -50,10 +53,51 @@ def training_rows(events: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("block", "day", "cik")))
 
 
-def fitted_rates(training: DataFrame) -> DataFrame:
-    """block, base_rate, train_events, train_issuer_days: how often training issuer-days rose."""
-    days = issuer_days(training.withColumn("forecast", F.lit(0.0)), ["block", "day", "cik"])
-    return days.groupBy("block").agg(F.avg("rose").alias("base_rate"), F.sum("filings").alias("train_events"), F.count(F.lit(1)).alias("train_issuer_days"))
+def fold_rows(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every event that enters a fold, once: the first block it trains for, and its weight from each block on.
+
+    first: the earliest block whose start lies after its day and its exit; it trains for that and all later blocks. steps:
+    (block, weight) of the blocks at which its issuer-day gains rows; the weight is one over the rows of the issuer-day.
+    """
+    starts = blocks.filter("block IS NOT NULL").select("block", "block_start").distinct()
+    # One row a block; the array holds the starts in order, so a block is its place.
+    listed = starts.agg(F.array_sort(F.collect_list(F.struct("block", "block_start"))).alias("_starts"))
+    after = F.greatest("day", "exit_session")
+    placed = events.join(F.broadcast(listed)).withColumn("first", F.array_min(F.transform(F.filter("_starts", lambda b: b["block_start"] > after), lambda b: b["block"]))).drop("_starts").filter("first IS NOT NULL")
+    gained = placed.groupBy("day", "cik", "first").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("day", "cik").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        gained.withColumn("n", F.sum("n").over(so_far)).groupBy(F.col("day").alias("_day"), F.col("cik").alias("_cik"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("block"), (1.0 / F.col("n")).alias("weight")))).alias("steps"))
+    )
+    joined = placed.join(steps, (F.col("day") == F.col("_day")) & F.col("cik").eqNullSafe(F.col("_cik"))).drop("_day", "_cik")
+    return joined.withColumn("steps", F.filter("steps", lambda s: s["block"] >= F.col("first")))
+
+
+def fold_days(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block, base_rate, train_events, train_issuer_days: how often training issuer-days rose.
+
+    An issuer-day changes only at the blocks where it gains rows; the changes are summed by block and then added up.
+    """
+    gained = rows.groupBy("day", "cik", "first").agg(F.sum("abnormal_return").alias("gain"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("day", "cik").orderBy("first")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rose = (F.sum("gain").over(so_far) > 0).cast("long")
+    steps = gained.select("day", "cik", "first", "n", rose.alias("rose"))
+    before = F.lag("rose").over(order)
+    changes = steps.select("first", "n", (F.col("rose") - F.coalesce(before, F.lit(0))).alias("rose"), F.when(before.isNull(), 1).otherwise(0).alias("fresh"))
+    by_block = changes.groupBy(F.col("first").alias("block")).agg(*[F.sum(c).alias(c) for c in ("n", "rose", "fresh")])
+    listed = blocks.filter("block IS NOT NULL").select("block").distinct().join(by_block, "block", "left").fillna(0)
+    up_to = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)  # one row a block
+    total = {c: F.sum(c).over(up_to) for c in ("n", "rose", "fresh")}
+    return listed.select("block", (total["rose"] / total["fresh"]).alias("base_rate"), total["n"].alias("train_events"), total["fresh"].alias("train_issuer_days")).filter("train_issuer_days > 0")
+
+
+def fold_sizes(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block, day, rows: how many events of each day a block trains on."""
+    counted = rows.groupBy("day", "first").agg(F.count(F.lit(1)).alias("n"))
+    names = blocks.filter("block IS NOT NULL").select("block").distinct()
+    return counted.join(F.broadcast(names), F.col("first") <= F.col("block")).groupBy("block", "day").agg(F.sum("n").alias("rows"))
 
 
 @dataclass(frozen=True)
@@ -73,50 +117,102 @@ def _parameters(spark: SparkSession, rows: dict[int, list[float]], prefix: str)
     return F.broadcast(spark.createDataFrame([(b, *map(float, v)) for b, v in sorted(rows.items())], schema))
 
 
-def fit_blocks(training: DataFrame, features: tuple[str, ...] = FEATURES, tolerance: float = 1e-10, max_iter: int = 50) -> dict[int, Baseline]:
+def _weights(steps: pa.ListArray, blocks: int) -> np.ndarray:
+    """Weight of each row in each block, from its steps."""
+    n = len(steps)
+    flat = steps.flatten()
+    at, weight = flat.field("block").to_numpy(zero_copy_only=False), flat.field("weight").to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n), np.diff(steps.offsets.to_numpy()))
+    until = np.append(at[1:], blocks)
+    until[np.append(row[1:] != row[:-1], True)] = blocks
+    size = until - at
+    out = np.zeros(n * blocks)
+    out[np.arange(int(size.sum())) + np.repeat(row * blocks + at - (np.cumsum(size) - size), size)] = np.repeat(weight, size)
+    return out.reshape(n, blocks)
+
+
+def _block_sums(rows: DataFrame, blocks: int, width: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """part(features, outcomes, weights), an array of blocks by width, summed over all rows: one row a block leaves each task."""
+    names = [f"v{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((blocks, width))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(lo, BATCH_ROWS)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in some.columns[2:]], axis=1)
+                steps = some.column("steps")
+                total += part(x, some.column("y").to_numpy(zero_copy_only=False), _weights(pa.ListArray.from_arrays(pc.subtract(steps.offsets, steps.offsets[0]), steps.flatten()), blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), *map(pa.array, total.T)], ["block", *names])
+
+    sums = rows.mapInArrow(run, "block long, " + ", ".join(f"{n} double" for n in names)).groupBy("block").agg(*[F.sum(n).alias(n) for n in names])
+    out = np.zeros((blocks, width))
+    for r in sums.collect():
+        out[r["block"]] = [r[n] for n in names]
+    return out
+
+
+def fit_folds(rows: DataFrame, blocks: int, features: tuple[str, ...] = FEATURES, tolerance: float = 1e-10, max_iter: int = 50) -> dict[int, Baseline]:
     """Weighted standardisation (population variance, a constant scaled by 1) and L2 logistic regression with C = 1, every block at once.
 
-    Newton's method: each step is one aggregation of gradient and curvature by block, so the number of jobs follows the
-    steps (about six), not the blocks.
+    rows hold each event once (fold_rows). Newton's method: each step is one pass over the events that gathers gradient
+    and curvature of all blocks, on features standardised over all events; each block's own standardisation is a linear map
+    of these sums. So neither the rows nor the jobs follow the number of blocks.
     """
-    spark, w, d = training.sparkSession, F.col("weight"), len(features)
-    first = training.groupBy("block").agg(F.sum(w).alias("w"), F.min("outcome").alias("lo"), F.max("outcome").alias("hi"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"m{k}") for k, f in enumerate(features)]).collect()
-    if not first or any(r["lo"] == r["hi"] for r in first):
-        raise DegenerateTrainingSetError("a training set holds one outcome only")
-    means = {r["block"]: [r[f"m{k}"] for k in range(d)] for r in first}
-    centred = training.join(_parameters(spark, means, "m"), "block")
-    spread = centred.groupBy("block").agg(*[F.sqrt(F.sum(w * F.pow(F.col(f) - F.col(f"m{k}"), 2)) / F.sum(w)).alias(f"s{k}") for k, f in enumerate(features)]).collect()
-    scales = {r["block"]: [r[f"s{k}"] if r[f"s{k}"] > 1e-12 else 1.0 for k in range(d)] for r in spread}
-    z = [((F.col(f) - F.col(f"m{k}")) / F.col(f"s{k}")).alias(f"z{k}") for k, f in enumerate(features)]
-    rows = centred.join(_parameters(spark, scales, "s"), "block").select("block", w, F.col("outcome").cast("double").alias("y"), *z, F.lit(1.0).alias(f"z{d}")).persist()
-    beta = {b: np.zeros(d + 1) for b in means}
-    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-    ridge = np.diag([1.0] * d + [0.0])
-    active = set(beta)
-    for _ in range(max_iter):
-        now = rows.join(_parameters(spark, {b: beta[b].tolist() for b in active}, "b"), "block")
-        score = reduce(lambda a, b: a + b, [F.col(f"z{k}") * F.col(f"b{k}") for k in range(d + 1)])
-        now = now.withColumn("p", 1 / (1 + F.exp(-score))).withColumns({"g": w * (F.col("p") - F.col("y")), "h": w * F.col("p") * (1 - F.col("p"))})
-        sums = now.groupBy("block").agg(*[F.sum(F.col("g") * F.col(f"z{k}")).alias(f"g{k}") for k in range(d + 1)], *[F.sum(F.col("h") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in pairs]).collect()
-        for r in sums:
-            own = beta[r["block"]]
-            slope = np.array([r[f"g{k}"] for k in range(d + 1)]) + ridge @ own
-            bend = np.zeros((d + 1, d + 1))
-            for i, j in pairs:
-                bend[i, j] = bend[j, i] = r[f"h{i}_{j}"]
-            step = np.linalg.solve(bend + ridge, slope)
-            step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-            beta[r["block"]] = own - step
-            if np.abs(step).max() < tolerance:
-                active.discard(r["block"])
-        if not active:
-            break
-    rows.unpersist()
-    return {b: Baseline(tuple(means[b]), tuple(scales[b]), tuple(map(float, v[:d])), float(v[d])) for b, v in beta.items()}
+    d = len(features)
+    overall = rows.agg(*[F.avg(f).alias(f"m{k}") for k, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{k}") for k, f in enumerate(features)], F.count(F.lit(1)).alias("n")).first()
+    if not overall["n"]:
+        raise DegenerateTrainingSetError("a training set holds no event")
+    centre, unit = (np.array([overall[f"{c}{k}"] for k in range(d)], float) for c in "ms")
+    unit[unit <= 1e-12] = 1.0
+    scaled = [((F.col(f) - F.lit(float(centre[k]))) / F.lit(float(unit[k]))).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
+    flat = rows.select("steps", F.col("outcome").cast("double").alias("y"), *scaled).persist()
+    try:
+        first = _block_sums(flat, blocks, d + 3, lambda x, y, w: np.column_stack([w.T @ np.column_stack([np.ones(len(x)), x]), (w > 0).T @ y, (w > 0).sum(axis=0)]))
+        weight, ones, count = first[:, 0], first[:, d + 1], first[:, d + 2]
+        used = np.flatnonzero(count)
+        if not len(used) or (ones[used] == 0).any() or (ones[used] == count[used]).any():
+            raise DegenerateTrainingSetError("a training set holds one outcome only")
+        means = first[:, 1 : d + 1] / np.maximum(weight, 1e-300)[:, None]
+        spread = _block_sums(flat, blocks, d, lambda x, y, w: np.stack([(w * (x[:, k, None] - means[None, :, k]) ** 2).sum(axis=0) for k in range(d)], axis=1))
+        scales = np.sqrt(spread / np.maximum(weight, 1e-300)[:, None])
+        scales = np.where(scales * unit > 1e-12, scales, 1.0 / unit)
+        pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+        ridge = np.diag([1.0] * d + [0.0])
+        beta, active = np.zeros((blocks, d + 1)), set(used.tolist())
+        for _ in range(max_iter):
+            slope = beta[:, :d] / scales
+            level = beta[:, d] - (slope * means).sum(axis=1)
+
+            def part(x: np.ndarray, y: np.ndarray, w: np.ndarray, slope: np.ndarray = slope, level: np.ndarray = level) -> np.ndarray:
+                p = 1.0 / (1.0 + np.exp(-(x @ slope.T + level)))
+                one = np.column_stack([x, np.ones(len(x))])
+                return np.column_stack([(w * (p - y[:, None])).T @ one, (w * p * (1.0 - p)).T @ np.stack([one[:, i] * one[:, j] for i, j in pairs], axis=1)])
+
+            sums = _block_sums(flat, blocks, d + 1 + len(pairs), part)
+            for b in sorted(active):
+                own = np.eye(d + 1)
+                own[:d, :d] = np.diag(1.0 / scales[b])
+                own[:d, d] = -means[b] / scales[b]
+                bend = np.zeros((d + 1, d + 1))
+                for (i, j), v in zip(pairs, sums[b, d + 1 :], strict=True):
+                    bend[i, j] = bend[j, i] = v
+                step = np.linalg.solve(own @ bend @ own.T + ridge, own @ sums[b, : d + 1] + ridge @ beta[b])
+                step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+                beta[b] -= step
+                if np.abs(step).max() < tolerance:
+                    active.discard(b)
+            if not active:
+                break
+    finally:
+        flat.unpersist()
+    return {b: Baseline(tuple(map(float, centre + unit * means[b])), tuple(map(float, unit * scales[b])), tuple(map(float, beta[b, :d])), float(beta[b, d])) for b in used.tolist()}
 
 
 def fit(training: DataFrame, features: tuple[str, ...] = FEATURES) -> Baseline:
-    return fit_blocks(training.withColumn("block", F.lit(0).cast("long")), features)[0]
+    """One training set with the weights of its rows."""
+    steps = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.col("weight").cast("double").alias("weight")))
+    return fit_folds(training.withColumn("steps", steps), 1, features)[0]
 
 
 def forecast(models: dict[int, Baseline], rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -138,10 +234,12 @@ def forecast_walk_forward(events: DataFrame, fraction: float = INITIAL_FRACTION,
     folds = days.filter("block IS NOT NULL").groupBy("block", "block_start").count().orderBy("block").collect()
     if sum(f["count"] for f in folds) < 2:
         raise InsufficientObservationsError("the walk leaves fewer than two scored days")
-    training = training_rows(events, days).persist()
-    rates = {r["block"]: r for r in fitted_rates(training).collect()}
-    models = fit_blocks(training)
+    training = fold_rows(events, days).persist()
+    rates = {r["block"]: r for r in fold_days(training, days).collect()}
+    models = fit_folds(training, len(folds))
     training.unpersist()
+    if lacking := [f["block"] for f in folds if f["block"] not in models]:
+        raise DegenerateTrainingSetError(f"blocks {lacking} train on no event")
     scored = events.join(F.broadcast(days.filter("block IS NOT NULL").select("day", "block")), "day")  # one row a day
     scored = forecast(models, scored).join(_parameters(events.sparkSession, {b: [r["base_rate"]] for b, r in rates.items()}, "_r"), "block").withColumnRenamed("_r0", "base_rate")
     reports = [{"block": f["block"], "start": f["block_start"], **rates[f["block"]].asDict(), "coefficients": coefficients(models[f["block"]])} for f in folds]

@@ -115,17 +115,31 @@ def _calendar(spark: SparkSession) -> DataFrame:
     return calendar.trading_calendar(spark, "2026-01-01", "2027-12-31")
 
 
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings of 2024 moved to 2026, a covered year."""
+    return filings(spark, sf_dir).select("accession_no", F.date_add("day", 731).alias("day"))
+
+
+def _filed(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
+    """days with the number of filings on each."""
+    filed = _shifted(spark, sf_dir).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return days.join(filed, "day", "left").withColumn("filings", F.coalesce("n", F.lit(0))).withColumn("day", F.col("day").cast("string")).drop("n")
+
+
 def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calendar(spark).filter("trading").select(F.col("day").cast("string").alias("day"), "idx")
+    return _filed(spark, sf_dir, _calendar(spark).filter("trading").select("day", "idx"))
 
 
 def sampled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.sampled_days(_calendar(spark), 7).select(F.col("day").cast("string").alias("day"))
+    return _filed(spark, sf_dir, calendar.sampled_days(_calendar(spark), 7))
 
 
-def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings of 2024 moved to 2026, a covered year."""
-    return filings(spark, sf_dir).select("accession_no", F.date_add("day", 731).alias("day"))
+def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions between the first and the last filing day on which no open-market purchase of over 490 was filed."""
+    rows = filings(spark, sf_dir).withColumn("day", F.date_add("day", 731))
+    span = rows.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    built = rows.filter("transaction_code = 'P' AND value_usd > 490").select("day")
+    return calendar.missing_days(calendar.trading_calendar(spark, *span), built).select(F.col("day").cast("string").alias("day"))
 
 
 def sessions_after(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         insider_screen, present_rows, rejected_filings, reject_rate, filing_dedupe, transaction_dedupe, owner_sets, trigger_items, security_class, ticker_choice,
-        ticker_completion, sic_sector, trading_calendar, sampled_days, sessions_after, window_close, ripe_events, held_days, acceptance_utc, session_close, usable_news,
+        ticker_completion, sic_sector, trading_calendar, sampled_days, missing_days, sessions_after, window_close, ripe_events, held_days, acceptance_utc, session_close, usable_news,
     )
 }
 ORACLE_SQL = {
@@ -241,8 +255,10 @@ SELECT CASE WHEN ticker IS NOT NULL THEN 'filing' WHEN listed THEN 'current' WHE
     "sic_sector": f"""WITH g(lo, hi, fund, k) AS (VALUES {_SIC_ROWS}), f(code, fund) AS (VALUES {_SIC_FULL}),
 p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN CAST(left(lpad(CAST(p_partkey AS VARCHAR), 4, '0'), 4) AS INTEGER) ELSE p_size * 173 % 9000 END AS code FROM part)
 SELECT p_partkey, coalesce((SELECT fund FROM f WHERE f.code = p.code), (SELECT max_by(fund, k) FROM g WHERE p.code // 100 BETWEEN lo AND hi), 'SPY') AS fund FROM p""",
-    "trading_calendar": f"WITH {_CAL} SELECT CAST(day AS VARCHAR) AS day, idx FROM sess",
-    "sampled_days": f"WITH {_CAL} SELECT CAST(day AS VARCHAR) AS day FROM sess WHERE (idx - 1) % 7 = 0",
+    "trading_calendar": f"WITH {_CAL}, {_MOVED} SELECT CAST(s.day AS VARCHAR) AS day, idx, count(m.accession_no) AS filings FROM sess s LEFT JOIN moved m ON m.day = s.day GROUP BY ALL",
+    "sampled_days": f"WITH {_CAL}, {_MOVED} SELECT CAST(s.day AS VARCHAR) AS day, count(m.accession_no) AS filings FROM sess s LEFT JOIN moved m ON m.day = s.day WHERE (idx - 1) % 7 = 0 GROUP BY ALL",
+    "missing_days": f"""WITH {_CAL}, {_MOVED} SELECT CAST(day AS VARCHAR) AS day FROM sess WHERE day BETWEEN (SELECT min(day) FROM moved) AND (SELECT max(day) FROM moved)
+  AND day NOT IN (SELECT day + 731 FROM filings WHERE transaction_code = 'P' AND value_usd > 490)""",
     "sessions_after": f"WITH {_CAL}, {_MOVED}, {_nth(3)} SELECT CAST(day AS VARCHAR) AS day, CAST(session AS VARCHAR) AS session FROM nth",
     "window_close": f"{_CLOSE} SELECT CAST(closes_on AS VARCHAR) AS closes_on, count(*) AS events FROM closes GROUP BY 1",
     "ripe_events": f"{_CLOSE} SELECT count(*) AS ripe, CAST(max(closes_on) AS VARCHAR) AS last_close FROM closes WHERE closes_on < DATE '2026-01-27'",

@@ -58,9 +58,17 @@ def first_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_outcomes(docs, labels).select("accession_no", F.col("abnormal_return").cast("double").alias("abnormal_return"), "outcome")
 
 
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    blocks = walkforward.walk_blocks(filings(spark, sf_dir))
+    return walkforward.fold_rows(filings(spark, sf_dir), blocks), blocks
+
+
 def issuer_day_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = walkforward.training_rows(filings(spark, sf_dir), walkforward.walk_blocks(filings(spark, sf_dir)))
-    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("weight"), 6).alias("issuer_days"))
+    """Rows and weight of each training set; what an event adds to a block is the change of its weight there."""
+    rows, blocks = _folds(spark, sf_dir)
+    change = F.transform("steps", lambda s, k: F.struct(s["block"].alias("block"), (s["weight"] - F.when(k > 0, F.get(F.col("steps"), k - 1)["weight"]).otherwise(0.0)).alias("w"), F.when(k == 0, 1).otherwise(0).alias("n")))
+    added = rows.select(F.explode(change).alias("c")).groupBy("c.block").agg(F.sum("c.n").alias("n"), F.sum("c.w").alias("w"))
+    return added.join(F.broadcast(blocks.filter("block IS NOT NULL").select(F.col("block").alias("b")).distinct()), F.col("block") <= F.col("b")).groupBy(F.col("b").alias("block")).agg(F.sum("n").alias("rows"), F.round(F.sum("w"), 6).alias("issuer_days"))
 
 
 def walk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +77,11 @@ def walk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = walkforward.training_rows(filings(spark, sf_dir), walkforward.walk_blocks(filings(spark, sf_dir)))
-    return rows.groupBy("block", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    return walkforward.fold_sizes(*_folds(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 def base_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = walkforward.training_rows(filings(spark, sf_dir), walkforward.walk_blocks(filings(spark, sf_dir)))
-    return walkforward.fitted_rates(rows).select("block", F.round("base_rate", 9).alias("base_rate"), F.col("train_events").cast("long").alias("train_events"), "train_issuer_days")
+    return walkforward.fold_days(*_folds(spark, sf_dir)).withColumn("base_rate", F.round("base_rate", 9))
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

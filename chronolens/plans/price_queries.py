@@ -91,10 +91,10 @@ def packet_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E = f"""{FILINGS}, ev AS (SELECT accession_no, day, as_of, CASE transaction_code WHEN 'P' THEN 'purchase' WHEN 'S' THEN 'signup' WHEN 'M' THEN 'click' ELSE 'error' END AS symbol FROM filings WHERE transaction_code <> 'A')"""
 _PAIR = "pair AS (SELECT b.symbol, b.session, b.open, b.close, v.open AS bo, v.close AS bc FROM bars b JOIN bars v ON v.session = b.session AND v.symbol = 'view' WHERE b.symbol <> 'view')"
-_LABEL = f"""WITH {_E}, {BARS}, {_PAIR}, r AS (
-  SELECT e.accession_no, p.*, row_number() OVER (PARTITION BY e.accession_no ORDER BY p.session) AS k FROM ev e JOIN pair p ON p.symbol = e.symbol AND p.session > e.day
-), l AS (SELECT a.accession_no, a.session AS entry_session, x.session AS exit_session, (x.close - a.open) / a.open - (x.bc - a.bo) / a.bo AS ret
-  FROM r a JOIN r x ON x.accession_no = a.accession_no AND x.k = 6 WHERE a.k = 1)"""
+_LABEL = f"""WITH {_E}, {BARS}, {_PAIR}, p AS (
+  SELECT *, lead(session, 5) OVER w AS exit_session, lead(close, 5) OVER w AS exit_close, lead(bc, 5) OVER w AS exit_bc FROM pair WINDOW w AS (PARTITION BY symbol ORDER BY session)
+), l AS (SELECT e.accession_no, p.session AS entry_session, p.exit_session, (p.exit_close - p.open) / p.open - (p.exit_bc - p.bo) / p.bo AS ret
+  FROM ev e ASOF JOIN p ON p.symbol = e.symbol AND e.day < p.session WHERE p.exit_session IS NOT NULL)"""
 
 QUERIES = {
     f.__name__: f
