@@ -8,14 +8,10 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from ..operators.guards import GuardError
+from ..operators.calls import EnvironmentViolationError
 from ..operators.ledger import SAMPLES
 
 
-class EnvironmentViolationError(GuardError):
-    """A call ran with tools, memory or settings it must not have."""
-
-
 @dataclass
 class Sample:
     status: str

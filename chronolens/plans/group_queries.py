@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, text
-from ..operators import breakdowns, ledger, metrics
+from ..operators import breakdowns, calls, ledger, metrics
 from ..sources.commits import CommitLog, Field
 from ..sources.scratch import scratch_path
 from . import arm_ledger
@@ -229,9 +229,33 @@ def group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def _call_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as streams of calls: the first turn tells what the start says, user turns are usage readings, the last turn is the result."""
+    turns = read(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    tools = F.when(F.col("n") % 29 == 0, F.array(F.lit("StructuredOutput"), F.lit("Shell"))).otherwise(F.array(F.lit("StructuredOutput")))
+    json = lambda *fields: F.to_json(F.struct(*fields))
+    start = json(F.lit("system").alias("type"), F.lit("init").alias("subtype"), tools.alias("tools"), F.lit("m").alias("model"), F.lit("default").alias("output_style"), F.lit("default").alias("permissionMode"), F.lit("none").alias("apiKeySource"))
+    state = F.when(F.col("n") % 37 == 0, "rejected").otherwise("allowed")
+    use = F.struct(F.struct((F.col("n") / 1000).alias("utilization")).alias("five_hour"))
+    reading = json(F.lit("rate_limit_event").alias("type"), F.struct(state.alias("status"), use.alias("unifiedWindows")).alias("rate_limit_info"))
+    answer = F.struct((F.col("n") / 1500).alias("p_up"), F.col("text").alias("rationale"))
+    result = json(F.lit("result").alias("type"), (F.col("n") % 11 == 0).alias("is_error"), F.when(F.col("n") % 13 == 0, "refusal").otherwise("end").alias("stop_reason"), answer.alias("structured_output"))
+    lines = turns.withColumn("last", last).select("conv_id", "turn", F.explode(F.array(
+        F.struct(F.lit(0).alias("k"), F.when(F.col("turn") == 0, start).alias("value")), F.struct(F.lit(1).alias("k"), F.when(F.col("role") == "user", reading).alias("value")),
+        F.struct(F.lit(2).alias("k"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("value")), F.struct(F.lit(3).alias("k"), F.when((F.col("turn") == F.col("last")) & (F.col("turn") > 0), result).alias("value")),
+    )).alias("l"))
+    return lines.select(F.col("conv_id").alias("call"), (F.col("turn") * 4 + F.col("l.k")).alias("seq"), F.col("l.value").alias("value")).filter("value IS NOT NULL")
+
+
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _call_streams(spark, sf_dir)
+    ends = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("call")).agg((F.sum(F.length("text")) % 17 == 0).cast("int").alias("returncode")).withColumn("stderr", F.lit(None).cast("string"))
+    judged = calls.judge_calls(calls.fold_calls(lines), ends, calls.Isolation("m"))
+    return judged.select("call", "status", F.concat_ws(",", "problems").alias("problems"), F.round("estimate", 9).alias("estimate"), F.round(F.col("windows")["five_hour"], 9).alias("used"))
+
 
+def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = Window.partitionBy("cik").orderBy("as_of", "accession_no").rowsBetween(Window.unboundedPreceding, 0)
     return filings(spark, sf_dir).select("accession_no", F.max("value_usd").over(so_far).alias("largest"))
 
@@ -271,7 +295,7 @@ QUERIES = {
     for f in (
         size_terciles, ic_by_size, group_accounting, history_trades, history_skipped, pair_class, event_class, issuer_day_class, ic_by_type, type_accounting, arm_comparison,
         paired_difference, packet_hash, issuer_day_hash, prompt_render, issuer_day_groups, usage_by_model, spend_since, run_tokens, exclusion_counts, cost_join, sample_means,
-        sample_statuses, unique_guard, append_ledger, ledger_versions, group_states, running_cost, window_utilisation,
+        sample_statuses, unique_guard, append_ledger, ledger_versions, group_states, call_outcomes, running_cost, window_utilisation,
     )
 }
 ORACLE_SQL = {
@@ -313,6 +337,12 @@ SELECT cik, CAST(day AS VARCHAR) AS day FROM (SELECT cik, day FROM r GROUP BY AL
     "ledger_versions": f"""WITH {FILINGS} SELECT transaction_code AS model, CASE WHEN accession_no % 3 > 0 THEN cik::VARCHAR END AS issuer_day_hash, count(*) AS calls,
   sum(coalesce(shares, 0) + 1 + remaining_shares + CASE WHEN accession_no % 3 = 2 THEN 3 * coalesce(shares, 0) ELSE 0 END)::BIGINT AS tokens, sum(value_usd::DECIMAL(12, 6))::DOUBLE AS cost
 FROM filings GROUP BY ALL""",
+    "call_outcomes": """WITH t AS (SELECT *, length(text) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+s AS (SELECT conv_id AS call, sum(n) % 17 = 0 AS broken, bool_or(turn = 0 AND n % 29 = 0) AS tooled, bool_or(turn = 0) AS started, bool_or(role = 'user' AND n % 37 = 0) AS rejected,
+  max_by(n / 1000, turn) FILTER (role = 'user') AS used, max(n) FILTER (turn = last AND turn > 0) AS r FROM t GROUP BY 1)
+SELECT call, CASE WHEN r IS NULL OR NOT started THEN 'error' WHEN r % 11 = 0 OR broken THEN CASE WHEN rejected THEN 'rate_limited' ELSE 'error' END WHEN r % 13 = 0 THEN 'refused'
+  WHEN r <= 600 THEN 'ok' WHEN rejected THEN 'rate_limited' ELSE 'invalid_output' END AS status, CASE WHEN tooled THEN 'tools' ELSE '' END AS problems,
+  CASE WHEN r % 11 <> 0 AND NOT broken AND r % 13 <> 0 AND r <= 600 THEN round(r / 1500, 9) END AS estimate, round(used, 9) AS used FROM s""",
     "append_ledger": "SELECT user_id AS cik, count(*) AS n FROM events GROUP BY 1",
     "group_states": f"""WITH {FILINGS}, m AS (SELECT cik, (day < DATE '2024-01-10' OR cik % 10 = 0) AND cik % 10 <> 1 AS known FROM filings), g AS (SELECT cik, CASE WHEN bool_and(known) THEN 'done' WHEN bool_or(known) THEN 'changed' ELSE 'new' END AS state FROM m GROUP BY cik)
 SELECT state, count(*) AS n FROM g GROUP BY state""",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import events, prices
+from ..operators import calls, events, prices
 from . import schemas
 
 HISTORY_FILES = ("SUBMISSION", "NONDERIV_TRANS", "REPORTINGOWNER")
@@ -102,10 +102,10 @@ def quarters(history: dict[str, DataFrame]) -> DataFrame:
     return history["submissions"].agg(F.min("quarter").alias("first"), F.max("quarter").alias("last"))
 
 
-def call_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a call stream, lines that are no JSON objects left out."""
-    parsed = spark.read.text(path).select("value", F.get_json_object("value", "$.type").alias("type"))
-    return parsed.filter("type IS NOT NULL")
+def call_streams(spark: SparkSession, path: str) -> DataFrame:
+    """call (the file's name) and numbered lines of captured call streams."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("call"), F.col("value").alias("text"))
+    return calls.call_lines(whole)
 
 
 def filing_index(rows: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
