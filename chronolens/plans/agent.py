@@ -19,6 +19,9 @@ class Sample:
     cost: float = 0.0
     tokens: int = 0
     detail: str = ""
+    rationale: str | None = None
+    payload: str | None = None
+    windows: Mapping[str, float] = field(default_factory=dict)
 
 
 class Forecaster(Protocol):

@@ -33,11 +33,13 @@ SAMPLES = [
     Field("run_id", "string", False), Field("issuer_day_hash", "string", False), Field("prompt_version", "string", False), Field("attempt", "long", False), Field("status", "string", False),
     Field("estimate", "double"), Field("rationale", "string"), Field("cost", "double", False, "0.0"), Field("tokens", "long", False, "0"), Field("at", "timestamp", False, NOW),
 ]
+CLAIMS = [Field("run_id", "string", False), Field("issuer_day_hash", "string", False), Field("prompt_version", "string", False), Field("at", "timestamp", False, NOW)]
 STEPS = [
     [("predictions", PREDICTIONS, [], ["horizon_days > 0"]), ("calls", CALLS, [], [])],
     [("calls", ATTRIBUTION, [], []), ("predictions", [], ["event_id", "arm", "prompt_version"], [])],
-    [("calls", CACHE_WRITES, [], []), ("exclusions", EXCLUSIONS, ["issuer_day_hash", "arm", "prompt_version"], []), ("samples", SAMPLES, ["issuer_day_hash", "prompt_version", "attempt"], [])],
-]
+    [("calls", CACHE_WRITES, [], []), ("exclusions", EXCLUSIONS, ["issuer_day_hash", "arm", "prompt_version"], []), ("samples", SAMPLES, ["issuer_day_hash", "prompt_version", "attempt"], []),
+     ("claims", CLAIMS, ["issuer_day_hash", "prompt_version"], [])],
+]
 
 
 def upgrade(log: CommitLog, to: int = len(STEPS)) -> int:

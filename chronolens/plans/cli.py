@@ -15,7 +15,7 @@ from ..operators.guards import GuardError
 from ..sources import readers, schemas
 from ..sources.commits import CommitLog
 from ..sources.store import Store
-from . import arm_ledger, catalog, pipeline, report
+from . import arm_ledger, arm_run, catalog, pipeline, report
 from .backfill import WindowsStillOpenError, backfill, resolve_domains
 from .settings import SettingsError, load_settings
 
@@ -92,6 +92,26 @@ def agent_compare(args: argparse.Namespace) -> None:
     print({**accounts.first().asDict(), **summary.first().asDict()})
 
 
+def _forecast_days(args: argparse.Namespace, first: str, last: str) -> None:
+    """Run the arm over the groups of a range of built days; answers come from captured replies."""
+    spark = session()
+    if args.store:
+        built = Store(spark, args.store).days("insider", "packets")
+        calendar.require_built(calendar.trading_calendar(spark, first, last), built)
+    limits = arm_run.Limits(args.max_calls, args.max_weekly_share)
+    run = arm_run.ArmRun(arm_ledger.ArmLedger(spark, args.ledger), arm_run.Replies(spark.read.parquet(args.replies)), limits, args.run_id, args.prompt_version, args.model)
+    groups = spark.read.parquet(args.groups).filter(F.col("day").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    report = run.over(groups, dt.datetime.combine(dt.date.today(), dt.time()))
+    print(vars(report))
+    if report.halted:
+        raise GuardError(f"halted: {report.halted}")
+
+
+def agent_pilot(args: argparse.Namespace) -> None:
+    arm_run.require_pilot_day(dt.date.fromisoformat(args.day), dt.date.fromisoformat(args.scored_from))
+    _forecast_days(args, args.day, args.day)
+
+
 def check(args: argparse.Namespace) -> None:
     found = load_settings(os.environ)
     store = Store(session(), found.store_root)
@@ -104,6 +124,10 @@ def ledger_up(args: argparse.Namespace) -> None:
     print({"ledger": args.ledger, "declared": arm_ledger.upgrade(log, args.to), "files": log.verify()})
 
 
+ARM = [
+    ("groups", {}), ("--ledger", {"required": True}), ("--replies", {"required": True}), ("--run-id", {"required": True}), ("--prompt-version", {"required": True}), ("--model", {"required": True}),
+    ("--scored-from", {"required": True}), ("--store", {}), ("--max-weekly-share", {"type": float, "default": 0.8}),
+]
 STORE, DAY, BARS = ("--store", {"required": True}), ("day", {}), ("--bars", {"required": True})
 SOURCES = [("--filings", {"required": True, "help": "path of captured filings; {day} stands for the day"}), ("--reports", {}), ("--facts", {})]
 LABELS = [BARS, ("--issuers", {"required": True}), ("--today", {"required": True})]
@@ -112,6 +136,8 @@ COMMANDS = {
     "resolve": (resolve, [DAY, STORE, *LABELS]),
     "build-packets": (build_packets, [DAY, STORE, BARS]),
     "backfill": (run_backfill, [("first", {}), ("last", {}), STORE, *SOURCES, *LABELS, ("--every", {"type": int, "default": 1}), ("--packets", {"action": "store_true"})]),
+    "agent-pilot": (agent_pilot, [("day", {}), *ARM, ("--max-calls", {"type": int, "default": 400})]),
+    "agent-run": (lambda args: _forecast_days(args, args.scored_from, args.end), [*ARM, ("--max-calls", {"type": int, "required": True}), ("--end", {"required": True})]),
     "agent-compare": (agent_compare, [("base", {}), ("other", {}), ("first", {}), ("last", {})]),
     "check": (check, []),
     "ledger-up": (ledger_up, [("ledger", {}), ("--to", {"type": int, "default": len(arm_ledger.STEPS)})]),
@@ -133,7 +159,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     try:
         args.action(args)
-    except (SettingsError, GuardError, WindowsStillOpenError, FileNotFoundError) as error:
+    except (SettingsError, GuardError, WindowsStillOpenError, FileNotFoundError, calendar.MissingDaysError, arm_run.PilotDayError) as error:
         print(error, file=sys.stderr)
         return 1
     return 0

@@ -161,7 +161,7 @@ def test_the_arm_reads_back_what_it_wrote(spark, tmp_path):
     calls = "run_id string, model string, input long, output long, cache_read long, cost_usd string"
     log.append({"calls": spark.createDataFrame([("r1", "m", 1, 2, 3, "0.5")], calls)})
     log.append({"predictions": forecast(spark, "v0", ("old", 0.4)).withColumn("arm", F.lit("agent"))})
-    assert arm_ledger.upgrade(log) == 5 and arm_ledger.upgrade(log) == 0
+    assert arm_ledger.upgrade(log) == 6 and arm_ledger.upgrade(log) == 0
     own = arm_ledger.ArmLedger(spark, log.root)
     own.write_forecasts(forecast(spark, "v1", ("e1", 0.25), ("e2", 0.75)))
     with pytest.raises(DuplicateKeyError):
