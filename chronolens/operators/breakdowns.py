@@ -49,13 +49,23 @@ def history_trades(submissions: DataFrame, transactions: DataFrame, owners: Data
     """owner, issuer, year, month, filed of open-market trades in insider filings, and how many rows were skipped and why.
 
     submissions: accession_no, form, filed, issuer; transactions: accession_no, code, traded; owners: accession_no,
-    owner. Dates that did not parse are NULL.
+    owner. Dates and numbers that did not parse are NULL. Unparseable are submissions of the wanted forms, trades of
+    usable submissions, and owners of usable trades.
     """
     wanted = submissions.filter(F.col("form").isin("4", "4/A"))
-    trades = wanted.filter("filed IS NOT NULL").join(transactions.filter(F.col("code").isin("P", "S")), "accession_no")
+    whole = F.col("filed").isNotNull() & F.col("issuer").isNotNull()
+    trades = wanted.filter(whole).join(transactions.filter(F.col("code").isin("P", "S")), "accession_no")
     late = F.col("traded") > F.col("filed")
-    skipped = trades.agg(F.count_if(F.col("traded").isNull()).alias("unparseable"), F.coalesce(F.count_if(late), F.lit(0)).alias("future_dated"))
-    kept = trades.filter(F.col("traded").isNotNull() & ~late).join(owners, "accession_no")
+    usable = trades.filter(F.col("traded").isNotNull() & ~late)
+    named = owners.join(usable.select("accession_no"), "accession_no", "left_semi")
+    none = F.lit(0).cast("long")
+    counts = (
+        wanted.agg(F.count_if(~whole).alias("unparseable"), none.alias("future_dated"))
+        .unionByName(trades.agg(F.count_if(F.col("traded").isNull()).alias("unparseable"), F.coalesce(F.count_if(late), none).alias("future_dated")))
+        .unionByName(named.agg(F.count_if(F.col("owner").isNull()).alias("unparseable"), none.alias("future_dated")))
+    )
+    skipped = counts.agg(F.sum("unparseable").alias("unparseable"), F.sum("future_dated").alias("future_dated"))
+    kept = usable.join(owners.filter("owner IS NOT NULL"), "accession_no")
     return kept.select("owner", "issuer", F.year("traded").cast("long").alias("year"), F.month("traded").cast("long").alias("month"), "filed").distinct(), skipped
 
 

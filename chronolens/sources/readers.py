@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
 from ..operators import calls, events, prices
 from . import schemas
-
-HISTORY_FILES = ("SUBMISSION", "NONDERIV_TRANS", "REPORTINGOWNER")
+from .archives import ArchiveMembers
 
 
 def form4_filings(spark: SparkSession, path: str) -> DataFrame:
@@ -70,26 +64,16 @@ def news(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_archives(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
-    """The three tab-separated members of every quarterly archive, unquoted, as text columns with the archive's quarter."""
-    archives = spark.read.format("binaryFile").load(pattern).select("path", "content")
-
-    def member(name: str, columns: list[str]) -> DataFrame:
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for path, content in zip(batch["path"], batch["content"], strict=True):
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(f"{name}.tsv") as raw:
-                        lines = io.TextIOWrapper(raw, "utf-8", "replace")
-                        header = next(lines).rstrip("\r\n").split("\t")
-                        at = [header.index(c) for c in columns]
-                        while some := [line.rstrip("\r\n").split("\t") for _, line in zip(range(20_000), lines, strict=False)]:
-                            yield pd.DataFrame([[path, *(r[i] if i < len(r) else None for i in at)] for r in some], columns=["path", *columns])
-
-        found = archives.mapInPandas(rows, "path string, " + ", ".join(f"{c} string" for c in columns))
-        return found.withColumn("quarter", F.regexp_extract("path", r"(\d{4}q\d)_form345", 1)).drop("path")
-
-    submissions = member("SUBMISSION", ["ACCESSION_NUMBER", "FILING_DATE", "DOCUMENT_TYPE", "ISSUERCIK"])
-    trades = member("NONDERIV_TRANS", ["ACCESSION_NUMBER", "TRANS_DATE", "TRANS_CODE"])
-    owners = member("REPORTINGOWNER", ["ACCESSION_NUMBER", "RPTOWNERCIK"])
+    """The three members of every quarterly archive that history needs, each inflated once for the columns named here."""
+    spark.dataSource.register(ArchiveMembers)
+
+    def member(name: str, *columns: str) -> DataFrame:
+        schema = ", ".join(f"{c} string" for c in columns)
+        return spark.read.format("tsv_archives").schema(schema).option("member", name).load(pattern)
+
+    submissions = member("SUBMISSION", "quarter", "ACCESSION_NUMBER", "FILING_DATE", "DOCUMENT_TYPE", "ISSUERCIK")
+    trades = member("NONDERIV_TRANS", "ACCESSION_NUMBER", "TRANS_DATE", "TRANS_CODE")
+    owners = member("REPORTINGOWNER", "ACCESSION_NUMBER", "RPTOWNERCIK")
     number = F.col("ACCESSION_NUMBER").alias("accession_no")
     return {
         "submissions": submissions.select(number, F.col("DOCUMENT_TYPE").alias("form"), text.filing_date(F.col("FILING_DATE")).alias("filed"), F.col("ISSUERCIK").try_cast("long").alias("issuer"), "quarter"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolens.operators import breakdowns, events, ledger
 from chronolens.plans import backfill, pipeline, report
-from chronolens.sources import readers, schemas
+from chronolens.sources import archives, readers, schemas
 from chronolens.sources.store import PacketIntegrityError, Store
 from chronolens.streaming import hold
 
@@ -69,14 +69,14 @@ def test_history_archives(spark, tmp_path):
         for name, lines in {
             "SUBMISSION": ["ACCESSION_NUMBER\tFILING_DATE\tDOCUMENT_TYPE\tISSUERCIK", 'a\t06-MAR-2024\t4\t7', "b\t07-MAR-2024\t5\t7", "c\tjunk\t4/A\t7", "d\t08-MAR-2024\t4/A\t7"],
             "NONDERIV_TRANS": ["ACCESSION_NUMBER\tTRANS_DATE\tTRANS_CODE", "a\t05-MAR-2024\tP", "a\t31-FEB-2024\tS", "a\t09-MAR-2024\tS", "b\t05-MAR-2024\tP", 'd\t01-JAN-2021\tS"', "d\t02-JAN-2021\tS"],
-            "REPORTINGOWNER": ["ACCESSION_NUMBER\tRPTOWNERCIK", "a\t0001", "a\t2", "d\t1"],
+            "REPORTINGOWNER": ["ACCESSION_NUMBER\tRPTOWNERCIK", "a\t0001", "a\t2", "d\t1", "d\tx", "b\ty"],
         }.items():
             buffer = io.StringIO("\n".join(lines))
             z.writestr(f"{name}.tsv", buffer.getvalue())
     history = readers.history_archives(spark, f"{tmp_path}/*_form345.zip")
     trades, skipped = breakdowns.history_trades(**{k: v.drop("quarter") for k, v in history.items()})
     assert sorted((r["owner"], r["year"], r["month"]) for r in trades.collect()) == [(1, 2021, 1), (1, 2024, 3), (2, 2024, 3)]
-    assert tuple(skipped.first()) == (1, 1) and tuple(readers.quarters(history).first()) == ("2024q1", "2024q1")
+    assert tuple(skipped.first()) == (3, 1) and tuple(readers.quarters(history).first()) == ("2024q1", "2024q1")
 
 
 def test_cover_page_symbols(spark, tmp_path):
@@ -98,6 +98,25 @@ def test_ledger_refuses_a_second_forecast(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l")).count() == 1
 
 
+def test_archives_are_read_member_by_member(spark, tmp_path, monkeypatch):
+    for quarter, rows in (("2024q1", ["1\tone \"x\t\u00e9", "", "2"]), ("2024q2", ["3\tthree\tc\tmore"])):
+        with zipfile.ZipFile(tmp_path / f"{quarter}_form345.zip", "w") as z:
+            z.writestr("M.tsv", b"\xff".join([("A\tB\tC\r\n" + "\r\n".join(rows) + "\t").encode(), b"\r\n"]))
+            z.writestr("OTHER.tsv", "A\n")
+    spark.dataSource.register(archives.ArchiveMembers)
+    load = lambda schema, member="M", pattern="*_form345.zip": spark.read.format("tsv_archives").schema(schema).option("member", member).load(f"{tmp_path}/{pattern}")
+    whole = load("B string, quarter string, A string, C string")
+    assert sorted(map(tuple, whole.collect()), key=lambda r: r[2]) == [('one "x', "2024q1", "1", "\u00e9"), ("\ufffd", "2024q1", "2", None), ("three", "2024q2", "3", "c")]
+    assert whole.rdd.getNumPartitions() == 2 and sorted(r["C"] or "" for r in load("C string").collect()) == ["", "c", "\u00e9"]
+    assert load("quarter string").count() == 3 and load("A string", pattern="*_none.zip").count() == 0 and load("A string", "OTHER").count() == 0
+    monkeypatch.setattr(archives, "BATCH_ROWS", 1)
+    with open(tmp_path / "2024q1_form345.zip", "rb") as file:
+        assert [b for b in archives.member_rows(file, "M", ["A"])] == [[["1"]], [["2"]]]
+    for bad in (lambda: load("Z string").count(), lambda: load("A string", "GONE").count(), lambda: load("A long").count()):
+        with pytest.raises(Exception, match="has no|must be read"):
+            bad()
+
+
 def test_backfill_skips_retries_holds_and_stops():
     tries, waits = {"r": 0}, []
 
