@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import canonical, text
+from ..functions import canonical, canonical_sql, text
 from ..operators import breakdowns, calls, ledger, metrics
 from ..sources.commits import CommitLog, Field
 from ..sources.scratch import scratch_path
@@ -120,8 +120,9 @@ def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packet = F.struct(F.col("lang"), F.col("doc_id").alias("event_id"), (F.col("n_chars").cast("decimal(18,2)") / 4).cast("decimal(18,2)").alias("price"), F.to_date(F.lit("2024-01-05")).alias("session"), F.lit(None).cast("string").alias("ticker"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", canonical.canonical_column(packet).alias("canonical"))
+    price = (F.col("n_chars").cast("decimal(18,2)") / 4).cast("decimal(18,2)").alias("price")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("doc_id").alias("event_id"), price, F.to_date(F.lit("2024-01-05")).alias("session"), F.lit(None).cast("string").alias("ticker"))
+    rows = docs.select("doc_id", canonical_sql.canonical_packet(docs, "lang", "event_id", "price", "session", "ticker").alias("canonical"))
     return rows.select("doc_id", "canonical", canonical.hash_column(F.col("canonical")).alias("content_hash"))
 
 

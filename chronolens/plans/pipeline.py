@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import canonical, sectors, times
+from ..functions import canonical, canonical_sql, sectors, times
 from ..operators import calendar, events, guards, prices
 from ..sources import readers, schemas
 from ..sources.store import Store
@@ -95,7 +95,8 @@ def build_packets(store: Store, rows: DataFrame, bars: DataFrame, day: str) -> D
     store.replace(gone, "insider", day, schemas.EXCLUSION, "packet-exclusions")
     packed = judged.filter("_reason IS NULL").select(*fields, "bars")
     summary = canonical.exact_summary(F.transform("bars", lambda b: b["close"]), F.transform("bars", lambda b: b["volume"]))
-    packet = packed.withColumn("summary", summary).select("accession_no", canonical.canonical_column(F.struct(*fields, "bars", "summary")).alias("canonical"))
+    summed = packed.withColumn("summary", summary)
+    packet = summed.select("accession_no", canonical_sql.canonical_packet(summed, *fields, "bars", "summary").alias("canonical"))
     out = packet.withColumn("content_hash", canonical.hash_column(F.col("canonical")))
     store.write_packets(out, "insider", day)
     return out
