@@ -53,17 +53,22 @@ def training_rows(events: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("block", "day", "cik")))
 
 
-def fold_rows(events: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every event that enters a fold, once: the first block it trains for, and its weight from each block on.
-
-    first: the earliest block whose start lies after its day and its exit; it trains for that and all later blocks. steps:
-    (block, weight) of the blocks at which its issuer-day gains rows; the weight is one over the rows of the issuer-day.
-    """
+def first_blocks(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every event that enters a fold, once, with first: the earliest block whose start lies after its day and its exit."""
     starts = blocks.filter("block IS NOT NULL").select("block", "block_start").distinct()
     # One row a block; the array holds the starts in order, so a block is its place.
     listed = starts.agg(F.array_sort(F.collect_list(F.struct("block", "block_start"))).alias("_starts"))
     after = F.greatest("day", "exit_session")
-    placed = events.join(F.broadcast(listed)).withColumn("first", F.array_min(F.transform(F.filter("_starts", lambda b: b["block_start"] > after), lambda b: b["block"]))).drop("_starts").filter("first IS NOT NULL")
+    return events.join(F.broadcast(listed)).withColumn("first", F.array_min(F.transform(F.filter("_starts", lambda b: b["block_start"] > after), lambda b: b["block"]))).drop("_starts").filter("first IS NOT NULL")
+
+
+def fold_rows(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """first_blocks() with the weight of each event from each block on.
+
+    An event trains for its first block and all later ones. steps: (block, weight) of the blocks at which its issuer-day
+    gains rows; the weight is one over the rows of the issuer-day.
+    """
+    placed = first_blocks(events, blocks)
     gained = placed.groupBy("day", "cik", "first").agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("day", "cik").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
     steps = (

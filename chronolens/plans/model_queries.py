@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +60,14 @@ def first_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_outcomes(docs, labels).select("accession_no", F.col("abnormal_return").cast("double").alias("abnormal_return"), "outcome")
 
 
-def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _folds(spark: SparkSession, sf_dir: str, held: Callable[[DataFrame, DataFrame], DataFrame] = walkforward.first_blocks) -> tuple[DataFrame, DataFrame]:
     blocks = walkforward.walk_blocks(filings(spark, sf_dir))
-    return walkforward.fold_rows(filings(spark, sf_dir), blocks), blocks
+    return held(filings(spark, sf_dir), blocks), blocks
 
 
 def issuer_day_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and weight of each training set; what an event adds to a block is the change of its weight there."""
-    rows, blocks = _folds(spark, sf_dir)
+    rows, blocks = _folds(spark, sf_dir, walkforward.fold_rows)
     change = F.transform("steps", lambda s, k: F.struct(s["block"].alias("block"), (s["weight"] - F.when(k > 0, F.get(F.col("steps"), k - 1)["weight"]).otherwise(0.0)).alias("w"), F.when(k == 0, 1).otherwise(0).alias("n")))
     added = rows.select(F.explode(change).alias("c")).groupBy("c.block").agg(F.sum("c.n").alias("n"), F.sum("c.w").alias("w"))
     return added.join(F.broadcast(blocks.filter("block IS NOT NULL").select(F.col("block").alias("b")).distinct()), F.col("block") <= F.col("b")).groupBy(F.col("b").alias("block")).agg(F.sum("n").alias("rows"), F.round(F.sum("w"), 6).alias("issuer_days"))
