@@ -349,6 +349,35 @@ def test_verification_bridges_what_the_similarity_allows():
     assert (x, y, y2) == (0, 60, 162) and 51 < x2 <= 102 and likeness >= 0.75
 
 
+def test_a_line_through_two_texts_serves_all_its_seeds(monkeypatch):
+    rng = random.Random(41)
+    text, other = (mutated(rng, root, 0.05) for root in [prose(rng, 600)] * 2)
+    own, theirs = (passages.shingle_hashes(passages.words_of(t)) for t in (text, other))
+    lines, draw = [], passages._line
+    monkeypatch.setattr(passages, "_line", lambda *a: lines.append(a) or draw(*a))
+    together = passages.verified(own, passages.Ranked(theirs), np.arange(0, len(own), 7), 46, 0.75)
+    assert len(lines) <= 12
+    found = {k for x, y, *_ in together for k in range(x, y + 1)}
+    for seed in range(0, len(own), 7):  # a seed is covered if it alone leads to a passage
+        assert seed in found or not passages.verified(own, passages.Ranked(theirs), np.array([seed]), 46, 0.75)
+
+
+def test_pairs_in_blocks_give_what_single_pairs_give(spark, monkeypatch):
+    rng = random.Random(31)
+    root = prose(rng, 150)
+    docs = documents(spark, [f"{prose(rng, 20)} {mutated(rng, root, 0.02)}" for _ in range(16)])
+    nodes = common.store(passages.node_table(docs))
+    texts = docs.join(nodes, "doc_id").select("node", "text")
+    windows = passages.window_table(texts).groupBy("node").agg(F.collect_list("w").alias("w"))
+    pairs = windows.crossJoin(nodes.select(F.col("node").alias("rep"))).filter("node > rep")
+    apart = passages.confirmed_apart(pairs, texts, 46, 0.75)
+    blocks = passages.confirmed_in_blocks(pairs, texts, 3, 46, 0.75)
+    assert sorted(apart.collect()) == sorted(blocks.collect()) and apart.count() > 60
+    chosen = []
+    monkeypatch.setattr(passages, "confirmed_in_blocks", lambda *a: chosen.append(a[2]) or apart)
+    assert passages.confirmed(pairs, texts, 46, 0.75).count() == apart.count() and chosen == [passages.LEAST_BLOCKS]
+
+
 # secrets
 
 
