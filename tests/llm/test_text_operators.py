@@ -362,6 +362,37 @@ def test_a_line_through_two_texts_serves_all_its_seeds(monkeypatch):
         assert seed in found or not passages.verified(own, passages.Ranked(theirs), np.array([seed]), 46, 0.75)
 
 
+def test_only_disordered_stretches_of_a_line_are_searched(monkeypatch):
+    def plain(values):
+        best = [1] * len(values)
+        for i, v in enumerate(values):
+            best[i] += max((best[j] for j in range(i) if values[j] < v), default=0)
+        return max(best, default=0)
+
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(rng.integers(0, 30))
+        values = np.sort(rng.integers(0, 25, n))
+        values[n // 3 : n // 2] = rng.permutation(values[n // 3 : n // 2])
+        places = passages._rising(values)
+        assert len(places) == plain(values.tolist()) and (np.diff(places) > 0).all() and (np.diff(values[places]) > 0).all()
+    asked, search = [], passages.bisect_left
+    monkeypatch.setattr(passages, "bisect_left", lambda tails, v: asked.append(v) or search(tails, v))
+    values = np.arange(10_000)
+    values[[5000, 5001]] = 5001, 5000
+    assert len(passages._rising(values)) == 9999 and len(asked) <= 2
+
+
+def test_seeds_outside_every_span_are_not_asked(monkeypatch):
+    place = np.arange(4000)
+    tokens, common_ = place.astype(np.uint64), (place < 100) | (place % 20 == 0)
+    others = passages.Ranked(np.where(common_, tokens, tokens + np.uint64(10_000)))
+    line, asked, search = place[common_], [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: asked.append(1) or search(x))
+    [(x, y, x2, y2, likeness)] = passages._widest(tokens, others, line, line, line, np.zeros(4000, bool), 46, 0.75)
+    assert (x, x2) == (0, 0) and y == y2 >= 99 and likeness >= 0.75 and len(asked) <= 5
+
+
 def test_pairs_in_blocks_give_what_single_pairs_give(spark, monkeypatch):
     rng = random.Random(31)
     root = prose(rng, 150)
