@@ -16,9 +16,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,9 @@ from .common import drop_stored, free_name, store, table
 CAPACITY = 2048
 GROUP_ROWS = 40_000
 MAX_ROUNDS = 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+TEXT_AT_ONCE = 1 << 23  # characters
+LONG_PART = 64  # characters; longer stretches of several words are not remembered
 
 # Within these characters lower case and normal form C act on single characters, so a word's ids do not depend on its
 # neighbours; texts with any other character, or with the string of an added token, go to the library whole.
@@ -37,7 +42,8 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; ids of frequent words are looked up."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; ids of words, and of the stretches between white space
+    that they make up, are looked up. What has not been met since the last full store of them is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,30 +51,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
+    def _ask(self, words: list[str]) -> None:
         for lo in range(0, len(words), 20_000):
             some = words[lo : lo + 20_000]
             code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(code.ids, "<u4"), np.array([-1 if w is None else w for w in code.word_ids])
-            ends = np.searchsorted(of, np.arange(len(some)), "right")
-            start = 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self.known[word] = ids[start:end].tobytes()
-                start = end
+            ids, of = np.array(code.ids, "<u4").tobytes(), np.array([-1 if w is None else w for w in code.word_ids])
+            ends = (4 * np.searchsorted(of, np.arange(len(some)), "right")).tolist()
+            self.known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _unknown(self, strings: list[str]) -> list[str]:
+        """Those of which nothing is known; what was known before is known again."""
+        unknown = set(filterfalse(self.known.__contains__, strings))
+        again = set(filter(self.before.__contains__, unknown))
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        return sorted(unknown - again)
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct stretches of a text without white space, in lower case."""
+        if len(self.known) > CACHED_WORDS:
+            self.before, self.known = self.known, {}
+        found = list(map(self.known.get, parts))
+        unknown = self._unknown([part for part, ids in zip(parts, found, strict=True) if ids is None])
+        words = [_WORDS.findall(part) for part in unknown]
+        self._ask(self._unknown(list(chain.from_iterable(words))))
+        known, long = self.known, {}
+        for part, own in zip(unknown, words, strict=True):
+            if len(own) != 1:
+                (known if len(part) <= LONG_PART else long)[part] = b"".join(map(known.__getitem__, own))
+        return [ids if ids is not None else long[part] if part in long else known[part] for part, ids in zip(parts, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _OTHER.search(t) or any(a in t for a in self.added) else _WORDS.findall(t.lower()) for t in texts]
-        fresh = set().union(*(w for w in words if w)) - self.known.keys()
-        if len(fresh) + len(self.known) > CACHED_WORDS:
-            fresh |= set().union(*(w for w in words if w))
-        if fresh:
-            self._learn(sorted(fresh))
+        whole = [bool(_OTHER.search(t)) or any(a in t for a in self.added) for t in texts]
+        parts = pc.ascii_split_whitespace(pa.array(["" if w else t.lower() for t, w in zip(texts, whole, strict=True)], pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        found, codes = self._ids_of(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, counts = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = np.repeat((starts[codes] - ends[:-1]).astype("int32"), counts)  # a call's ids are far fewer than 2**31
+        ids = np.frombuffer(b"".join(found), "<u4")[shift + np.arange(ends[-1], dtype="int32")]
+        at = ends[parts.offsets.to_numpy()].tolist()
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(self.known.__getitem__, w))
-            for t, w in zip(texts, words, strict=True)
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else ids[lo:hi].tobytes()
+            for t, w, lo, hi in zip(texts, whole, at, at[1:], strict=False)
         ]
 
 
@@ -85,9 +112,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, last, step = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
-                rows = []
+            read = batch["text"].fillna("").str.len().cumsum().to_numpy() // TEXT_AT_ONCE
+            bounds = [0, *(np.flatnonzero(np.diff(read)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                part, rows = batch.iloc[lo:hi], []
                 for doc_id, ids in zip(part["doc_id"], encode(part["text"].fillna("").tolist()), strict=True):
                     ids += last
                     for piece, at in enumerate(range(0, len(ids), step)):

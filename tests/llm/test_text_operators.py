@@ -185,6 +185,26 @@ def test_sequences_and_nothing(spark):
 # pieces
 
 
+def test_words_in_use_are_asked_once_while_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 30)
+    encode, asked = packing.WordEncoder(WORD_BPE), []
+    ask = encode.tokenizer
+
+    class Counted:
+        def encode(self, text, **kw):
+            asked.extend(text.split(" "))
+            return ask.encode(text, **kw)
+
+    encode.tokenizer = Counted()
+    rng = random.Random(5)
+    for turn in range(20):
+        texts = [f"Kept, it's the\tsame 12½ {prose(rng, 8)} {'x1' * 40} {turn}end..", "", "\n \r", "日本 kept"]
+        want = [np.array(ask.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encode.encode(texts) == want
+    assert asked.count("kept") == 1 + 20  # and the texts that go to the library whole
+    assert len(encode.known) + len(encode.before) < 150
+
+
 def test_pieces_equal_the_library(spark, texts):
     own = piece_bpe.PieceCodec(PIECE_BPE)
     rng = random.Random(2)
