@@ -2,7 +2,8 @@
 
 Rows are dealt over shards of bounded size by a hash of vec_id. Within a shard equal vectors share a node; vectors get
 one more component so that all have one length, which turns the largest inner product into the smallest distance. Layers
-are built from the top by inserting batches: beam search for candidates, diverse neighbours among them, links both ways.
+are built from the top by inserting batches: the nearest of all inserted so far as candidates (one matrix product a batch,
+which the size of a shard bounds), diverse neighbours among them, links both ways.
 A shard's index is one row of flat arrays. Queries come in bounded blocks, every block descends through every shard's
 graph in step, and the merged candidates are ranked by inner products of the original vectors in double precision.
 
@@ -72,7 +73,8 @@ def diverse(base: np.ndarray, ids: np.ndarray, vectors: np.ndarray, count: int)
         some = vectors[own]
         near = np.where(own >= 0, np.einsum("bd,bmd->bm", base[lo : lo + 256], some), -np.inf)
         order = np.argsort(-near, axis=1, kind="stable")
-        own, near, some = np.take_along_axis(own, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(some, order[:, :, None], 1)
+        own, near = np.take_along_axis(own, order, 1), np.take_along_axis(near, order, 1)
+        some = vectors[own]
         between = some @ some.transpose(0, 2, 1)
         taken = np.zeros(own.shape, bool)
         worst = np.full(own.shape, -np.inf, np.float32)  # likeness to the nearest one chosen so far
@@ -105,20 +107,16 @@ class Graph:
         return entries
 
     def _build(self, depth: int, size: int, degree: int) -> None:
-        vectors, links, above = self.vectors[:size], np.full((size, degree), -1, np.int32), self.sizes[depth - 1] if depth else 0
+        vectors, links = self.vectors[:size], np.full((size, degree), -1, np.int32)
         done = 0
         while done < size:
             new = np.arange(done, min(size, done + max(64, min(BATCH, done))))
             base = vectors[new]
-            inner = base @ base.T
-            np.fill_diagonal(inner, -np.inf)
-            width = min(EF_BUILD, len(new))
-            among = np.argpartition(-inner, width - 1, axis=1)[:, :width]
-            ids = np.where(among == np.arange(len(new))[:, None], -1, new[among]).astype(np.int32)
-            if done:
-                entries = self.descend(base) if above else np.zeros(len(new), np.int32)
-                entries = np.where(entries < done, entries, 0)
-                ids = np.concatenate([beam(base, vectors[:done], links[:done], entries, EF_BUILD)[0], ids], axis=1)
+            inner = base @ vectors[: new[-1] + 1].T
+            inner[np.arange(len(new)), new] = -np.inf
+            width = min(EF_BUILD, inner.shape[1])
+            ids = np.argpartition(-inner, width - 1, axis=1)[:, :width].astype(np.int32)
+            ids[ids == new[:, None]] = -1
             chosen = diverse(base, ids, vectors, degree // 2 if depth == len(self.sizes) - 1 else degree)
             links[new, : chosen.shape[1]] = chosen
             self._link_back(links, vectors, new, chosen, degree)

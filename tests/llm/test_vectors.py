@@ -89,6 +89,19 @@ def test_graph_recall_scores_and_ties(spark):
     assert [j for j, _ in got[120]] == [100, *range(101, 120)]
 
 
+def test_a_graph_is_built_without_searching_it(monkeypatch):
+    rng, searches, search = np.random.default_rng(6), [], hnsw.beam
+    v = rng.standard_normal((3000, 24)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(hnsw, "beam", lambda *a: searches.append(1) or search(*a))
+    graph = hnsw.Graph(v)
+    assert not searches and graph.sizes[-1] == len(v) and all((x >= 0).any(axis=1).all() for x in graph.links if len(x) > 1)
+    queries = graph.vectors[::20]
+    found = hnsw.beam(queries, graph.vectors, graph.links[-1], graph.descend(queries), 144)[0][:, :20]
+    exact = np.argsort(-(queries @ graph.vectors.T), axis=1)[:, :20]
+    assert np.mean([len({*a} & {*b}) for a, b in zip(found.tolist(), exact.tolist(), strict=True)]) / 20 >= 0.98
+
+
 def test_few_vectors_are_all_returned(spark):
     got = hnsw.nearest(table(spark, [[1.0, 0.5], [0.5, 0.5], [0.25, -1.0]]))
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got.collect()] == [(1, 1, 0.75), (2, 2, -0.25)]
