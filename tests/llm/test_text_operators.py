@@ -429,6 +429,27 @@ def test_pairs_in_blocks_give_what_single_pairs_give(spark, monkeypatch):
     assert passages.confirmed(pairs, texts, 46, 0.75).count() == apart.count() and chosen == [passages.LEAST_BLOCKS]
 
 
+def test_seeds_of_no_passage_are_refused_before_a_line_is_drawn(monkeypatch):
+    rng = random.Random(51)
+    lines, draw = [], passages._line
+    monkeypatch.setattr(passages, "_line", lambda *a: lines.append(a) or draw(*a))
+    refused = kept = 0
+    for share in (0.02, 0.03, 0.04, 0.06):
+        text, other = (mutated(rng, root, share) for root in [prose(rng, 400)] * 2)
+        own, theirs = (passages.shingle_hashes(passages.words_of(t)) for t in (text, other))
+        theirs, seeds = passages.Ranked(theirs), np.arange(0, len(own), 5)
+        able = set(passages.able_seeds(own, theirs, seeds, 46, 0.75).tolist())
+        leads = {seed for seed in seeds.tolist() if passages.verified(own, theirs, np.array([seed]), 46, 0.75)}
+        assert leads <= able
+        refused, kept = refused + len(seeds) - len(able), kept + len(leads)
+    assert refused and kept
+    root = prose(rng, 400).split(" ")
+    own, theirs = (passages.shingle_hashes([w.encode() if k % 24 != 5 * n else b"x%d" % (k + n) for k, w in enumerate(root)]) for n in range(2))
+    every = [(seed << 32) | (60 << 18) | (60 << 4) | h for seed in range(0, len(own), 5) for h in range(8)]
+    lines.clear()  # four fifths of either side are known, which no common span of similarity 0.75 can have
+    assert passages.passages_of(own, passages.Ranked(theirs), every, 46, 0.75) == [] and not lines
+
+
 # secrets
 
 
